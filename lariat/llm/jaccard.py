@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import U64, bytes_of, configure, map_batches, materialize, mix, shingle_hashes, word_hashes
+from lariat.llm.common import U64, bytes_of, configure, id_filter, map_batches, materialize, mix, shingle_hashes, word_hashes
 from lariat.llm.components import components
 
 #: Most frequent tokens that are broadcast: 8 bytes and a count each, 1 MB.
@@ -98,7 +98,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         """Each document's size and digest; then this task's tokens that several of its documents hold."""
         held: list[np.ndarray] = []
         size = 0
-        names = ["doc_id", "n_shingles", "digest", "token", "n"]
+        names = ["doc_id", "n_shingles", "digest", "counts", "token", "n"]
 
         def flush(rest: bool) -> pa.RecordBatch | None:
             if not held:
@@ -107,26 +107,27 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             held.clear()
             token, count = token[count > 1], count[count > 1]
             nothing = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count)], names)
 
         for b in batches:
-            sizes, digests = [], []
+            sizes, digests, counts = [], [], []
             for t in bytes_of(b.column("_text")):
                 s = token_set(t, k)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                counts.append(class_counts(s))
                 held.append(s)
                 size += len(s)
             nothing = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), nothing, nothing], names)
             if size > 5_000_000 and (out := flush(False)) is not None:
                 size = 0
                 yield out
         if (out := flush(True)) is not None:
             yield out
 
-    seen = materialize(narrow.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, token long, n long"), "tokens")
-    rows = seen.where("token is null").select("doc_id", "n_shingles", "digest")
+    seen = materialize(narrow.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, counts binary, token long, n long"), "tokens")
+    rows = seen.where("token is null").select("doc_id", "n_shingles", "digest", "counts")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     # At most FREQUENT / 2 tokens can have this count, as each document counts a token once.
     floor = max(32, -(-2 * total // FREQUENT))
@@ -139,7 +140,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # One document stands for all with its set.
     keyed = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = materialize(rows.where("doc_id is not null").join(keyed, "digest").where("doc_id != rep").select("doc_id", "rep").distinct(), "copies")
-    alone = narrow.where("doc_id is not null and _text is not null").join(copies.select("doc_id").distinct().join(keyed.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").hint("shuffle_hash"), "doc_id", "left_anti")
+    known = narrow.where("doc_id is not null and _text is not null")
+    maybe_copy = id_filter(copies, "doc_id")
+    alone = known.where(~maybe_copy("doc_id"))
+    rest = known.where(maybe_copy("doc_id")).join(copies.select("doc_id").distinct().join(keyed.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").hint("shuffle_hash"), "doc_id", "left_anti")
+    alone = alone.unionByName(rest)
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         frequent, rank = table.value
@@ -166,10 +171,8 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     over = met.where("place < 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     stars = met.where(_possible("size", "place", "c_size", "c_place", num, den)).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).unionByName(over).where("a != b")
     stars = materialize(stars.distinct(), "stars")
-    wanted = met.where("place >= 0").select("doc_id").unionByName(stars.select(F.col("b").alias("doc_id"))).unionByName(stars.select(F.col("a").alias("doc_id"))).distinct()
-    texts = materialize(narrow.where("doc_id is not null and _text is not null").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    texts = materialize(map_batches(texts, _with_counts(k), "doc_id long, _text string, counts binary"), "counted")
-    links = materialize(_verified(stars, texts, k, num, den), "links")
+    counts = rows.where("doc_id is not null and digest is not null").select("doc_id", "counts")
+    links = materialize(_verified(stars, counts, known, k, num, den), "links")
     first = materialize(components(links), "first")
 
     # Signatures that hold several components yet: every pair across components that the sizes and places allow.
@@ -180,7 +183,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.size", "x.place", "y.size", "y.place", num, den)
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = materialize(_verified(across, texts, k, num, den), "more")
+    more = materialize(_verified(across, counts, known, k, num, den), "more")
     nodes = components(first.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return rows.join(nodes, rows.doc_id == nodes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -193,33 +196,36 @@ def _possible(size: str, place: str, size2: str, place2: str, num: int, den: int
     return (den * small >= num * F.greatest(a, b)) & (den * shared >= num * (a + b - shared))
 
 
-def _with_counts(k: int):
-    """Adds each set's token counts over COUNTERS hash classes; sums of minima bound an intersection from above."""
+def class_counts(tokens: np.ndarray) -> bytes:
+    """A set's token counts over COUNTERS hash classes; sums of minima bound an intersection from above.
+
+    One byte each, or four where a count needs them.
+    """
+    n = np.bincount((tokens >> U64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
 
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [np.bincount((token_set(t, k) >> U64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32).tobytes() for t in bytes_of(b.column("_text"))]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), pa.array(rows, pa.binary())], ["doc_id", "_text", "counts"])
 
-    return count
+def _counts_of(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.uint8 if len(c) == COUNTERS else np.uint32).astype(np.int64) for c in column.to_pylist()])
 
 
-def _bounded(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def _bounded(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) whose class counts allow the similarity; a repeated id passes if any of its texts does."""
-    counts = texts.select("doc_id", "counts")
     both = pairs.join(counts.select(F.col("doc_id").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("doc_id").alias("b"), F.col("counts").alias("y")), "b")
 
     def bound(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, COUNTERS).astype(np.int64) for c in "xy")
+        x, y = _counts_of(b.column("x")), _counts_of(b.column("y"))
         shared = np.minimum(x, y).sum(1)
         return b.select(["a", "b"]).filter(pa.array(den * shared >= num * (x.sum(1) + y.sum(1) - shared)))
 
     return map_batches(both, bound, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, counts: DataFrame, known: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b) that are similar. A centre with very many partners is dealt over 64 parts by partner."""
-    pairs = materialize(_bounded(pairs, texts, num, den).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "pairs")
-    texts = texts.drop("counts")
+    pairs = materialize(_bounded(pairs, counts, num, den).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(known.where(id_filter(ids, "doc_id")("doc_id")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     centres = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "_text")
     members = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "_text")
     # Parts of one centre lie side by side; its own texts (one, or several of a repeated id) come first.
