@@ -32,7 +32,7 @@ from lariat.llm.components import components
 
 #: Most frequent tokens that are broadcast: 8 bytes and a count each, 1 MB.
 FREQUENT = 1 << 16
-#: Hash classes whose counts bound an intersection.
+#: The least number of hash classes whose counts bound an intersection.
 COUNTERS = 128
 
 
@@ -197,16 +197,25 @@ def _possible(size: str, place: str, size2: str, place2: str, num: int, den: int
 
 
 def class_counts(tokens: np.ndarray) -> bytes:
-    """A set's token counts over COUNTERS hash classes; sums of minima bound an intersection from above.
+    """A set's token counts over hash classes; sums of minima bound an intersection from above.
 
-    One byte each, or four where a count needs them.
+    Powers of two of classes, at least COUNTERS and about one for every three tokens, up to 64 times COUNTERS; one byte
+    each, the last value of which may stand for more (which only loosens the bound of sets beyond it).
     """
-    n = np.bincount((tokens >> U64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+    width = min(64 * COUNTERS, max(COUNTERS, 1 << max(0, len(tokens) // 3).bit_length()))
+    return np.minimum(np.bincount((tokens >> U64(20)).astype(np.int64) & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
 
 
-def _counts_of(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(c, np.uint8 if len(c) == COUNTERS else np.uint32).astype(np.int64) for c in column.to_pylist()])
+def _shared_at_most(x: bytes, y: bytes, size: int) -> int:
+    """A bound on the intersection by class counts; the wider one is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return size
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < len(b):
+        b = b.reshape(-1, len(a)).sum(0, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def _bounded(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -214,9 +223,12 @@ def _bounded(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFra
     both = pairs.join(counts.select(F.col("doc_id").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("doc_id").alias("b"), F.col("counts").alias("y")), "b")
 
     def bound(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = _counts_of(b.column("x")), _counts_of(b.column("y"))
-        shared = np.minimum(x, y).sum(1)
-        return b.select(["a", "b"]).filter(pa.array(den * shared >= num * (x.sum(1) + y.sum(1) - shared)))
+        keep = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            n, m = sum(x), sum(y)
+            shared = _shared_at_most(x, y, min(n, m))
+            keep.append(255 in x or 255 in y or den * shared >= num * (n + m - shared))
+        return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(both, bound, "a long, b long").distinct()
 
