@@ -1,11 +1,292 @@
-"""Registered queries of the reference's operators and their SQL."""
+"""Queries over the driver's tables: one for each operator that SQL can hold against them, with that SQL.
+
+Genes are nations, reads are orders and nodes are line numbers, so a read's path is the line numbers of an order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lariat.functions import sequence as S
+from lariat.functions.beta import interval
+from lariat.operators import counts as C
+from lariat.operators import posterior
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders, customers = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("gene"), F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("at"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.paths(_placed(spark, sf_dir))
+
+
+_HITS = """hits AS (SELECT DISTINCT c_nationkey AS gene, l_orderkey AS read, l_linenumber AS node
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+paths AS (SELECT gene, read, list(node ORDER BY node) AS path, string_agg(CAST(node AS VARCHAR), '-' ORDER BY node) AS name, count(*) AS len FROM hits GROUP BY gene, read),
+steps AS (SELECT gene, node AS l, lead(node) OVER (PARTITION BY gene, read ORDER BY node) AS r FROM hits),
+edges AS (SELECT gene, l, r, count(*) AS n FROM steps WHERE r IS NOT NULL GROUP BY gene, l, r)"""
+_ANNO = """named AS (SELECT gene, name, any_value(path) AS path, count(*) AS n FROM paths GROUP BY gene, name),
+anno AS (SELECT * FROM (SELECT gene, name, path, CAST(row_number() OVER (PARTITION BY gene ORDER BY n DESC, name) AS INTEGER) AS tx FROM named) WHERE tx <= 8)"""
+_CLASSES = """hit AS (SELECT p.gene, p.name, p.n, string_agg(CAST(tx AS VARCHAR), ',' ORDER BY tx) AS class FROM named p JOIN anno a ON p.gene = a.gene AND contains('-' || a.name || '-', '-' || p.name || '-') GROUP BY ALL),
+classes AS (SELECT gene, class, CAST(sum(n) AS BIGINT) AS n FROM hit GROUP BY gene, class)"""
+_PSI = """touched AS (SELECT gene, l, r, n, unnest(range(l, r + 1)) AS node FROM edges),
+sums AS (SELECT gene, CAST(node AS INTEGER) AS node, CAST(coalesce(sum(n) FILTER (WHERE node IN (l, r)), 0) AS BIGINT) AS inclusion, CAST(coalesce(sum(n) FILTER (WHERE node NOT IN (l, r)), 0) AS BIGINT) AS exclusion,
+  count(*) FILTER (WHERE node IN (l, r)) AS ni, count(*) FILTER (WHERE node NOT IN (l, r)) AS ne FROM touched GROUP BY gene, node)"""
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None):
+    def register(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return register
+
+
+@_query(f"""WITH {_HITS}, {_PSI} SELECT gene, node, inclusion, exclusion,
+  CASE WHEN inclusion > 0 AND exclusion > 0 THEN round((inclusion / ni) / (inclusion / ni + exclusion / ne), 6) WHEN exclusion = 0 AND inclusion >= 2 THEN 1.0 WHEN inclusion = 0 AND exclusion >= 1 THEN 0.0 END AS psi,
+  inclusion + exclusion AS total_reads FROM sums""")
+def psi_nodes(spark, sf_dir):
+    return C.node_psi(C.edge_counts(_paths(spark, sf_dir)))
+
+
+@_query(f"WITH {_HITS} SELECT gene, path[1] AS node, count(*) AS n FROM paths WHERE len = 1 GROUP BY ALL")
+def node_counts(spark, sf_dir):
+    return C.node_counts(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {_HITS} SELECT * FROM edges")
+def edge_counts(spark, sf_dir):
+    return C.edge_counts(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {_HITS} SELECT gene, name AS path, count(*) AS n FROM paths WHERE len > 2 GROUP BY gene, name")
+def long_path_counts(spark, sf_dir):
+    return C.long_path_counts(_paths(spark, sf_dir))
+
+
+@_query("""WITH placed AS (SELECT c_nationkey AS gene, l_orderkey AS read, l_linenumber AS node, l_partkey AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+steps AS (SELECT gene, node AS l, lead(node) OVER (PARTITION BY gene, read ORDER BY place, node) AS r FROM placed) SELECT gene, l, r, count(*) AS n FROM steps WHERE l >= r GROUP BY ALL""")
+def circ_counts(spark, sf_dir):
+    return C.back_steps(_placed(spark, sf_dir))
+
+
+@_query(f"WITH {_HITS}, top AS (SELECT gene, max(n) AS top FROM edges GROUP BY gene) SELECT e.* FROM edges e JOIN top USING (gene) WHERE n >= top * 0.02")
+def minor_edge_filter(spark, sf_dir):
+    return C.minor_steps_dropped(C.edge_counts(_paths(spark, sf_dir)))
+
+
+@_query(f"WITH {_HITS}, p AS (SELECT gene, n / sum(n) OVER (PARTITION BY gene) AS p FROM edges) SELECT gene, CAST(ceil(log2(count(*))) AS BIGINT) AS complexity, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY gene")
+def complexity_entropy(spark, sf_dir):
+    return C.step_entropy(C.edge_counts(_paths(spark, sf_dir)))
+
+
+@_query(f"WITH {_HITS}, {_ANNO}, {_CLASSES} SELECT * FROM classes")
+def equivalence_classes(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return C.compatible(p, C.annotated_paths(p))
+
+
+def _lengths(p: DataFrame) -> DataFrame:
+    # A node's length is ten times its number.
+    return C.annotated_paths(p).select("gene", "tx", F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + 10 * x).alias("length"))
+
+
+_LENGTHS = "lengths AS (SELECT gene, tx, CAST(10 * list_sum(path) AS BIGINT) AS length FROM anno)"
+_UNIQUE = "uniq AS (SELECT gene, CAST(class AS INTEGER) AS tx, n AS count FROM classes WHERE NOT contains(class, ','))"
+_TPM = "rated AS (SELECT l.gene, l.tx, l.length, coalesce(u.count, 0) AS count, coalesce(u.count, 0) / greatest(length - 1, 1) AS rate FROM lengths l LEFT JOIN uniq u USING (gene, tx)), tpm AS (SELECT gene, tx, length, count, round(1e6 * rate / greatest((SELECT sum(rate) FROM rated), 1), 1) AS tpm FROM rated)"
+
+
+@_query(f"WITH {_HITS}, {_ANNO}, {_LENGTHS} SELECT * FROM lengths")
+def isoform_length(spark, sf_dir):
+    return _lengths(_paths(spark, sf_dir))
+
+
+def _tpm(p: DataFrame) -> DataFrame:
+    unique = C.compatible(p, C.annotated_paths(p)).where(~F.contains("class", F.lit(","))).select("gene", F.col("class").cast("int").alias("tx"), F.col("n").alias("count"))
+    return C.tpm(_lengths(p).join(unique, ["gene", "tx"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))
+
+
+@_query(f"WITH {_HITS}, {_ANNO}, {_CLASSES}, {_LENGTHS}, {_UNIQUE}, {_TPM} SELECT * FROM tpm")
+def tpm_initial(spark, sf_dir):
+    return _tpm(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {_HITS}, {_ANNO}, {_CLASSES}, {_LENGTHS}, {_UNIQUE}, {_TPM} SELECT gene, round(sum(tpm), 1) AS tpm FROM tpm GROUP BY gene")
+def gene_tpm(spark, sf_dir):
+    return _tpm(_paths(spark, sf_dir)).groupBy("gene").agg(F.round(F.sum("tpm"), 1).alias("tpm"))
+
+
+@_query(f"""WITH RECURSIVE {_HITS}, {_ANNO}, {_CLASSES}, members AS (SELECT gene, class, n, CAST(unnest(string_split(class, ',')) AS INTEGER) AS tx FROM classes),
+em AS (SELECT 0 AS it, gene, tx, 1.0::DOUBLE AS c FROM (SELECT DISTINCT gene, tx FROM members)
+  UNION ALL SELECT it, gene, tx, sum(share) AS c FROM (SELECT e.it + 1 AS it, m.gene, m.tx, m.n * e.c / sum(e.c) OVER (PARTITION BY m.gene, m.class) AS share FROM members m JOIN em e ON m.gene = e.gene AND m.tx = e.tx WHERE e.it < 8) GROUP BY it, gene, tx)
+SELECT gene, tx, round(c, 3) AS count FROM em WHERE it = 8""")
+def isoform_em(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return C.em_shares(C.compatible(p, C.annotated_paths(p)), 8).withColumn("count", F.round("count", 3))
+
+
+@_query(f"""WITH {_HITS}, {_ANNO}, seen AS (SELECT e.gene, l, r, e.n, bool_or(coalesce(contains('-' || a.name || '-', '-' || l || '-' || r || '-'), false)) AS seen_any,
+  bool_and(contains('-' || a.name || '-', '-' || l || '-' || r || '-')) FILTER (WHERE a.path[1] <= l AND a.path[-1] >= r) AS every FROM edges e LEFT JOIN anno a USING (gene) GROUP BY ALL)
+SELECT gene, l, r, n, CASE WHEN seen_any AND coalesce(every, false) THEN 'CON_ANNO' WHEN seen_any THEN 'ALT_ANNO' ELSE 'ALT_UNIQ' END AS class FROM seen""")
+def junction_class(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return C.junction_classes(C.edge_counts(p), C.annotated_paths(p))
+
+
+@_query(f"""WITH {_HITS}, {_ANNO}, {_CLASSES}, {_LENGTHS}, {_UNIQUE}, {_TPM}, over AS (SELECT a.gene, a.path, t.tpm, unnest(range(a.path[1] + 1, a.path[-1])) AS node FROM anno a JOIN tpm t USING (gene, tx))
+SELECT gene, CAST(node AS INTEGER) AS node, CASE WHEN sum(tpm) > 0 THEN round(sum(CASE WHEN list_contains(path, node) THEN tpm ELSE 0 END) / sum(tpm), 4) END AS psi FROM over GROUP BY gene, node""")
+def truth_psi_from_tpm(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return C.truth_psi(_tpm(p), C.annotated_paths(p))
+
+
+@_query(f"""WITH {_HITS}, {_ANNO}, known AS (SELECT e.gene, l, r, n, exists(SELECT 1 FROM anno a WHERE a.gene = e.gene AND contains('-' || a.name || '-', '-' || l || '-' || r || '-')) AS k FROM edges e)
+SELECT (SELECT count(*) FROM paths WHERE len = 1) AS body_reads, (SELECT count(*) FROM paths WHERE len > 1) AS junction_reads, count(*) AS junctions, count(*) FILTER (WHERE k) AS annotated_junctions, CAST(sum(n) FILTER (WHERE k) AS BIGINT) AS annotated_steps FROM known""")
+def map_stats(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return C.mapping_stats(p, C.annotated_paths(p))
+
+
+_DNA = "dna AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
+
+
+def _dna(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return _table(spark, sf_dir, name).select(key, F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+
+
+def _kmers(df: DataFrame, key: str, k: int) -> DataFrame:
+    return df.where(F.length("seq") >= k).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substring("seq", i, F.lit(k)))).alias("kmer"))
+
+
+@_query(f"WITH {_DNA}, k AS (SELECT substr(seq, CAST(i AS BIGINT), 6) AS kmer FROM dna, unnest(range(1, length(seq) - 4)) AS t(i)) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
+def kmer_counts(spark, sf_dir):
+    return _kmers(_dna(spark, sf_dir), "doc_id", 6).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_DNA}, k AS (SELECT doc_id, substr(seq, 1, 9) AS kmer FROM dna WHERE length(seq) >= 9) SELECT doc_id, kmer, CAST(1 + list_sum(list_transform(range(1, 10), lambda i: (strpos('ACGT', substr(kmer, i, 1)) - 1) * pow(4, 9 - i))) AS BIGINT) AS kmer_index FROM k")
+def kmer_index(spark, sf_dir):
+    first = F.substring("seq", 1, 9)
+    return _dna(spark, sf_dir).where(F.length("seq") >= 9).select("doc_id", first.alias("kmer"), S.kmer_index(first).alias("kmer_index"))
+
+
+@_query(f"WITH {_DNA} SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM dna")
+def revcomp(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", F.md5(S.reverse_complement(F.col("seq")).cast("binary")).alias("rc"))
+
+
+@_query(f"WITH {_DNA}, w AS (SELECT substr(seq, CAST(i AS BIGINT), 50) AS w FROM dna, unnest(range(5, length(seq) - 49, 10)) AS t(i)) SELECT CAST(least(floor((50 - length(replace(replace(w, 'G', ''), 'C', ''))) * 20 / 50 + 1e-9), 19) AS INTEGER) + 1 AS bin, count(*) AS n FROM w GROUP BY bin")
+def gc_windows(spark, sf_dir):
+    starts = F.when(F.length("seq") - 50 >= 5, F.sequence(F.lit(5), F.length("seq") - 50, F.lit(10)))
+    w = _dna(spark, sf_dir).select(F.explode(F.transform(starts, lambda i: F.substring("seq", i, F.lit(50)))).alias("w"))
+    return w.groupBy(S.gc_bin(F.lit(50) - F.length(F.translate("w", "GC", ""))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_DNA}, k AS (SELECT substr(seq, CAST(i AS BIGINT), 6) AS kmer, i IN (1, 2) AS fore FROM dna, unnest([1, 2, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32]) AS t(i) WHERE length(seq) >= 37), c AS (SELECT kmer, count(*) FILTER (WHERE fore) AS fore, count(*) FILTER (WHERE NOT fore) AS back FROM k GROUP BY kmer) SELECT kmer, fore, back FROM c")
+def primer_bias(spark, sf_dir):
+    at = F.array(*[F.lit(i) for i in (1, 2, *range(23, 33))])
+    k = _dna(spark, sf_dir).where(F.length("seq") >= 37).select(F.explode(F.transform(at, lambda i: F.struct(F.substring("seq", i, F.lit(6)).alias("kmer"), (i < 3).alias("fore")))).alias("k"))
+    return k.groupBy("k.kmer").agg(F.count_if(F.col("k.fore")).alias("fore"), F.count_if(~F.col("k.fore")).alias("back"))
+
+
+@_query("""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents), b AS (SELECT item_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark),
+s AS (SELECT DISTINCT item_id, substr(seq, CAST(i AS BIGINT), 18) AS kmer FROM b, unnest(range(1, length(seq) - 16)) AS t(i)), q AS (SELECT doc_id, substr(seq, 6 + 18 * CAST(i AS BIGINT), 18) AS kmer, CAST(i AS INTEGER) AS try FROM d, unnest(range(0, 3)) AS t(i) WHERE length(seq) >= 77),
+tol AS (SELECT kmer FROM s GROUP BY kmer HAVING count(*) <= 4), h AS (SELECT q.doc_id, q.try, s.item_id FROM q JOIN s USING (kmer) JOIN tol USING (kmer)), f AS (SELECT doc_id, min(try) AS try FROM h GROUP BY doc_id)
+SELECT doc_id, try, item_id FROM h JOIN f USING (doc_id, try)""")
+def seed_join(spark, sf_dir):
+    """The first of three seeds of a sequence that 1 to 4 items hold, with those items."""
+    seeds = _kmers(_dna(spark, sf_dir, "benchmark", "item_id"), "item_id", 18).distinct()
+    seeds = seeds.join(seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n <= 4").select("kmer"), "kmer")
+    tries = F.array(*[F.struct(F.lit(i).alias("try"), F.substring("seq", 6 + 18 * i, 18).alias("kmer")) for i in range(3)])
+    hits = _dna(spark, sf_dir).where(F.length("seq") >= 77).select("doc_id", F.explode(tries).alias("t")).select("doc_id", "t.try", "t.kmer").join(seeds, "kmer").drop("kmer")
+    return hits.withColumn("_first", F.min("try").over(Window.partitionBy("doc_id"))).where("try = _first").drop("_first")
+
+
+_KINDS = "['SL','SR','LS','RS','LR','LL','RR']"
+_SIDES = f"sides AS (SELECT o_orderkey AS node, {_KINDS}[CAST(o_orderkey % 7 AS INTEGER) + 1] AS l, {_KINDS}[CAST((o_orderkey // 7) % 7 AS INTEGER) + 1] AS r FROM orders)"
+
+
+@_query(f"""WITH {_SIDES} SELECT node, l, r, CASE WHEN l IN ('SL','LS') AND r = 'SL' THEN 'TS' WHEN l = 'RS' AND r IN ('RS','SR') THEN 'TE' WHEN l = 'LS' AND r IN ('LL','LR','LS') THEN 'AF' WHEN l IN ('RR','LR','SR') AND r = 'SR' THEN 'AL'
+ WHEN l = 'LL' AND r = 'RR' THEN 'RI' WHEN l IN ('RR','LR','SR') AND r IN ('LL','LR','LS') THEN 'CE' WHEN l = 'LL' AND r IN ('LL','LR','LS') THEN 'AD' WHEN l IN ('RR','LR','SR') AND r = 'RR' THEN 'AA' ELSE 'NA' END AS motif,
+ CASE l WHEN 'SL' THEN 'RS' WHEN 'RS' THEN 'SL' WHEN 'SR' THEN 'LS' WHEN 'LS' THEN 'SR' WHEN 'LL' THEN 'RR' WHEN 'RR' THEN 'LL' ELSE 'LR' END AS inverted, l IN ('LR','RR','SR','LS','SL') AS exon_start, r IN ('LR','LL','SR','LS','RS') AS exon_stop, r IN ('LR','LS','SR') AS hard FROM sides""")
+def motif_classify(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in S.EDGE_KINDS])
+    n = F.col("o_orderkey")
+    s = _table(spark, sf_dir, "orders").select(n.alias("node"), F.get(kinds, (n % 7).cast("int")).alias("l"), F.get(kinds, F.expr("cast((o_orderkey div 7) % 7 as int)")).alias("r"))
+    return s.select("node", "l", "r", S.motif(F.col("l"), F.col("r")).alias("motif"), S.inverted(F.col("l")).alias("inverted"), S.is_exon_start(F.col("l")).alias("exon_start"), S.is_exon_stop(F.col("r")).alias("exon_stop"), S.is_hard(F.col("r")).alias("hard"))
+
+
+@_query("""WITH genes AS (SELECT p_partkey AS gene, CAST(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS base, p_size FROM part), g AS (SELECT gene, coalesce(base, 0) AS base, p_size FROM genes),
+hits AS (SELECT event_id, CAST(event_id * 7919 % (SELECT sum(p_size) FROM part) AS BIGINT) AS pos FROM events) SELECT event_id, pos, gene, pos - base AS inside FROM hits JOIN g ON pos >= base AND pos < base + p_size""")
+def asof_gene(spark, sf_dir):
+    """Position to gene by running offsets, in bins of 64: a gene shows in each bin that it touches, so the join is by equality."""
+    # Offsets across partitions: sums of 1000-key blocks first, then within blocks.
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").cast("long").alias("size"), F.expr("p_partkey div 1000").alias("block"))
+    blocks = p.groupBy("block").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("block").orderBy("gene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    genes = p.withColumn("at", inner).join(blocks.select("block", "base"), "block").select("gene", (F.col("at") + F.col("base")).alias("at"), "size").where("size > 0")
+    total = p.agg(F.sum("size").alias("total"))
+    hits = _table(spark, sf_dir, "events").join(F.broadcast(total)).select("event_id", (F.col("event_id") * 7919 % F.col("total")).alias("pos")).withColumn("bin", F.expr("pos div 64"))
+    binned = genes.withColumn("bin", F.explode(F.expr("sequence(at div 64, (at + size - 1) div 64)")))
+    return hits.join(binned, "bin").where("pos >= at and pos < at + size").select("event_id", "pos", "gene", (F.col("pos") - F.col("at")).alias("inside"))
+
+
+@_query("""WITH reads AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS chrom, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem), exons AS (SELECT p_partkey AS exon, p_partkey % 100 AS chrom, p_partkey AS xs, p_partkey + p_size AS xe FROM part)
+SELECT chrom, exon, count(*) AS n FROM reads JOIN exons USING (chrom) WHERE s <= xe AND e >= xs GROUP BY chrom, exon""")
+def interval_overlap(spark, sf_dir):
+    """Overlapping intervals by equal chromosome and bins of 64; a pair counts in the bin of its later start only."""
+    reads = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chrom"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"))
+    exons = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("exon"), (F.col("p_partkey") % 100).alias("chrom"), F.col("p_partkey").alias("xs"), (F.col("p_partkey") + F.col("p_size")).alias("xe"))
+    bins = lambda df, a, b: df.withColumn("bin", F.explode(F.expr(f"sequence({a} div 64, {b} div 64)")))
+    both = bins(reads, "s", "e").join(bins(exons, "xs", "xe"), ["chrom", "bin"]).where("s <= xe and e >= xs and bin = greatest(s, xs) div 64")
+    return both.groupBy("chrom", "exon").agg(F.count(F.lit(1)).alias("n"))
+
+
+_REPLICATES = "reps AS (SELECT event_type, user_id % 20 AS replicate, user_id % 2 AS side, avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) AS psi, count(*) AS n FROM events GROUP BY ALL)"
+
+
+def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy("event_type", (F.col("user_id") % 20).alias("replicate"), (F.col("user_id") % 2).alias("side")).agg(F.avg(F.when(F.col("value") > 10, 1.0).otherwise(0.0)).alias("psi"), F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""WITH {_REPLICATES}, m AS (SELECT event_type, side, (psi * n + 1) / (n + 2) AS m FROM reps WHERE n >= 5), p AS (SELECT event_type, side, avg(m) AS mean FROM m GROUP BY ALL)
+SELECT a.event_type, round(a.mean, 5) AS psi_a, round(b.mean, 5) AS psi_b, round(a.mean - b.mean, 5) AS delta_psi FROM p a JOIN p b USING (event_type) WHERE a.side = 0 AND b.side = 1""")
+def posterior_diff(spark, sf_dir):
+    r = _replicates(spark, sf_dir)
+    return posterior.difference(*[posterior.pooled(r.where(F.col("side") == s), ["event_type"]) for s in (0, 1)], ["event_type"], with_probability=False)
+
+
+@_query(None)
+def posterior_probability(spark, sf_dir):
+    r = _replicates(spark, sf_dir)
+    return posterior.difference(*[posterior.pooled(r.where(F.col("side") == s), ["event_type"]) for s in (0, 1)], ["event_type"])
+
+
+@_query(None)
+def beta_ci(spark, sf_dir):
+    psi = psi_nodes(spark, sf_dir).where("psi is not null")
+    return psi.withColumn("ci", interval()("psi", F.col("total_reads").cast("double"))).select("gene", "node", "psi", S.significant(F.col("ci.lo"), 3).alias("lo"), S.significant(F.col("ci.hi"), 3).alias("hi"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(1 - pow(10.0, -l_quantity / 10), 6) AS p FROM lineitem")
+def phred_probability(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.phred(F.col("l_quantity")), 6).alias("p"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _QUERIES.items() if sql}
