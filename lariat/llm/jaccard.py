@@ -2,7 +2,8 @@
 
 A document is the set of its distinct k-word shingles (its tokens). Sets with Jaccard similarity of at least t share
 ceil(t * n) tokens, so their first n - ceil(t * n) + j tokens in any common order share j. The order puts rare tokens
-first, by hash among equals, and frequent ones after them, by count.
+first, by the logarithm of their count and then by hash, and frequent ones after them, by count. The logarithms come from
+a sketch of 2**SKETCH cells, each with the highest one of its tokens: 2 MB, whatever the number of tokens.
 
 * rare class: a rare token of the 1-prefix is a signature by itself;
 * frequent class: if the 1-prefix reaches a frequent token, all rare tokens of the set stand before it. Then two
@@ -10,8 +11,8 @@ first, by hash among equals, and frequent ones after them, by count.
   groups by hash, two of them fall into one group: the pairs within groups are signatures. g follows the size class,
   and a set signs for its own class and the next, so that any two sizes within t of each other meet in one class.
 
-Equal sets are one class before anything else. Documents of a signature are first compared with its smallest
-document; the links found make components, and only signatures that still hold several components go on to compare
+Equal sets are one class before anything else. Documents of a signature are first compared with three of them, the
+smallest, the largest and one by hash; the links found make components, and only signatures that still hold several components go on to compare
 pairs across them. So a group of near copies costs a star, not all its pairs, and yet no link between components is
 lost. Verification streams the texts behind each centre through Arrow and compares whole sets.
 """
@@ -34,6 +35,8 @@ from lariat.llm.components import components
 FREQUENT = 1 << 16
 #: The least number of hash classes whose counts bound an intersection.
 COUNTERS = 128
+#: Bits of a token that choose its cell in the sketch of counts.
+SKETCH = 22
 
 
 def token_set(text: bytes, k: int) -> np.ndarray:
@@ -49,7 +52,16 @@ def _size_class(n: int, num: int, den: int) -> int:
     return int(math.floor(math.log(n) / math.log(den / num) + 1e-9))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def count_classes(counted: DataFrame) -> np.ndarray:
+    """The sketch of counted(token, n): each cell's highest floor(log2(n)), at most 15. It leaves Spark as words of 16 cells."""
+    cells = counted.select(F.shiftrightunsigned("token", 64 - SKETCH).alias("cell"), F.least(F.floor(F.log2("n")), F.lit(15)).alias("class")).groupBy("cell").agg(F.max("class").alias("class"))
+    words = cells.groupBy(F.shiftright("cell", 4).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(class, cast(4 * (cell % 16) as int))")).alias("b")).toArrow()
+    packed = np.zeros(1 << (SKETCH - 4), np.int64)
+    packed[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return packed.view(U64)
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, position or -1) of one sorted token set; frequent: sorted hashes, rank: their places in the order."""
     n = len(tokens)
     if not n or num * n > den * (n - 1):  # one token more or less is too much already: only equal sets link
@@ -58,6 +70,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num:
     at = np.searchsorted(frequent, tokens)
     common = (at < len(frequent)) & (frequent[np.minimum(at, max(len(frequent) - 1, 0))] == tokens) if len(frequent) else np.zeros(n, bool)
     rare = tokens[~common]  # in order of hash, which is random
+    if classes is not None:
+        cell = rare >> U64(64 - SKETCH)
+        rare = rare[np.argsort((classes[(cell >> U64(4)).astype(np.int64)] >> ((cell & U64(15)) << U64(2)) & U64(15)).astype(np.uint8), kind="stable")]
     often = tokens[common][np.argsort(rank[at[common]], kind="stable")]
     prefix = n - _least_overlap(n, num, den) + 1
     sigs, places = [rare[:prefix]], [np.arange(min(prefix, len(rare)), dtype=np.int32)]
@@ -131,11 +146,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     # At most FREQUENT / 2 tokens can have this count, as each document counts a token once.
     floor = max(32, -(-2 * total // FREQUENT))
-    top = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    counted = materialize(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "counted")
+    top = counted.where(F.col("n") >= floor).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     ordered = sorted((int(r["n"]), int(r["token"]) & (1 << 64) - 1) for r in top)
     hashes = np.array([h for _, h in ordered], U64)
     by_hash = np.argsort(hashes)
-    table = spark.sparkContext.broadcast((hashes[by_hash], by_hash))
+    table = spark.sparkContext.broadcast((hashes[by_hash], by_hash, count_classes(counted)))
 
     # One document stands for all with its set.
     keyed = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -147,11 +163,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     alone = alone.unionByName(rest)
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
-        frequent, rank = table.value
+        frequent, rank, classes = table.value
         ids, sigs, places, sizes = [], [], [], []
         for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("_text"))):
             tokens = token_set(t, k)
-            s, p = signatures(tokens, frequent, rank, num, den)
+            s, p = signatures(tokens, frequent, rank, num, den, classes)
             ids.append(np.full(len(s), i, np.int64))
             sigs.append(s)
             places.append(p)
@@ -163,13 +179,13 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # Single tokens are rare; a pair may be held by very many documents, so those are first met in 64 parts.
     salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
     part = Window.partitionBy("sig", "salt")
-    met = signed.withColumn("salt", salt).withColumn("_c", F.min(F.struct("doc_id", "size", "place")).over(part)).withColumn("_last", F.max("doc_id").over(part))
-    met = met.select("sig", "salt", "doc_id", "size", "place", F.col("_c.doc_id").alias("centre"), F.col("_c.size").alias("c_size"), F.col("_c.place").alias("c_place"), "_last")
-    met = materialize(met.where("centre != _last or place < 0").drop("_last"), "met")
+    held = F.struct("doc_id", "size", "place")
+    met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id").alias("by"), held.alias("held"))).over(part)["held"])
+    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "size", "place", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
     # The parts' smallest documents meet at the smallest of all.
     tops = met.where("place < 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
     over = met.where("place < 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    stars = met.where(_possible("size", "place", "c_size", "c_place", num, den)).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).unionByName(over).where("a != b")
+    stars = met.withColumn("c", F.explode("centres")).where(_possible("size", "place", "c.size", "c.place", num, den)).select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).unionByName(over).where("a != b")
     stars = materialize(stars.distinct(), "stars")
     counts = rows.where("doc_id is not null and digest is not null").select("doc_id", "counts")
     links = materialize(_verified(stars, counts, known, k, num, den), "links")
