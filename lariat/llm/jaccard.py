@@ -10,6 +10,8 @@ a sketch of 2**SKETCH cells, each with the highest one of its tokens: 2 MB, what
   similar sets that share no rare signature share j frequent tokens of the prefix extended to j = g + 1. Dealt into g
   groups by hash, two of them fall into one group: the pairs within groups are signatures. g follows the size class,
   and a set signs for its own class and the next, so that any two sizes within t of each other meet in one class.
+  Sets that meet so and share a rare token as well meet by that one too; so here their intersection may be bounded by
+  their frequent tokens alone.
 
 Equal sets are one class before anything else. Documents of a signature are first compared with three of them, the
 smallest, the largest and one by hash; the links found make components, and only signatures that still hold several components go on to compare
@@ -37,6 +39,8 @@ FREQUENT = 1 << 16
 COUNTERS = 128
 #: Bits of a token that choose its cell in the sketch of counts.
 SKETCH = 22
+#: A group's documents are compared with at most so many of it, by hash, besides the smallest and the largest, at first.
+CENTRES = 32
 
 
 def token_set(text: bytes, k: int) -> np.ndarray:
@@ -61,12 +65,15 @@ def count_classes(counted: DataFrame) -> np.ndarray:
     return packed.view(U64)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, position or -1) of one sorted token set; frequent: sorted hashes, rank: their places in the order."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(signature, place, gap, number of frequent tokens) of one sorted token set; frequent: sorted hashes, rank: their order.
+
+    A pair's place is -1 - p, where p is that of its earlier token among the set's frequent ones; the gap leads to the later one.
+    """
     n = len(tokens)
     if not n or num * n > den * (n - 1):  # one token more or less is too much already: only equal sets link
         if not n or num * (n + 1) > den * n:
-            return np.zeros(0, U64), np.zeros(0, np.int32)
+            return np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     at = np.searchsorted(frequent, tokens)
     common = (at < len(frequent)) & (frequent[np.minimum(at, max(len(frequent) - 1, 0))] == tokens) if len(frequent) else np.zeros(n, bool)
     rare = tokens[~common]  # in order of hash, which is random
@@ -75,7 +82,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num:
         rare = rare[np.argsort((classes[(cell >> U64(4)).astype(np.int64)] >> ((cell & U64(15)) << U64(2)) & U64(15)).astype(np.uint8), kind="stable")]
     often = tokens[common][np.argsort(rank[at[common]], kind="stable")]
     prefix = n - _least_overlap(n, num, den) + 1
-    sigs, places = [rare[:prefix]], [np.arange(min(prefix, len(rare)), dtype=np.int32)]
+    sigs, places, gaps = [rare[:prefix]], [np.arange(min(prefix, len(rare)), dtype=np.int32)], [np.zeros(min(prefix, len(rare)), np.int32)]
     if len(rare) < prefix:
         own = _size_class(n, num, den)
         for c in (own, own + 1):
@@ -92,9 +99,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num:
                     break
                 x, y = taken[same], taken[same + step]
                 sigs.append(mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(c)))
-                places.append(np.full(len(same), -1, np.int32))
+                places.append((-1 - order[same]).astype(np.int32))
+                gaps.append((order[same + step] - order[same]).astype(np.int32))
                 step += 1
-    return np.concatenate(sigs), np.concatenate(places)
+    return np.concatenate(sigs), np.concatenate(places), np.concatenate(gaps), len(often)
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,39 +172,41 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         frequent, rank, classes = table.value
-        ids, sigs, places, sizes = [], [], [], []
+        ids, sigs, places, gaps, sizes, tails = [], [], [], [], [], []
         for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("_text"))):
             tokens = token_set(t, k)
-            s, p = signatures(tokens, frequent, rank, num, den, classes)
+            s, p, g, often = signatures(tokens, frequent, rank, num, den, classes)
             ids.append(np.full(len(s), i, np.int64))
             sigs.append(s)
             places.append(p)
+            gaps.append(g)
             sizes.append(np.full(len(s), len(tokens), np.int32))
+            tails.append(np.where(p < 0, often, len(tokens)).astype(np.int32))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(places, np.int32))], ["sig", "doc_id", "size", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(places, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(tails, np.int32))], ["sig", "doc_id", "size", "place", "gap", "tail"])
 
-    signed = map_batches(alone, sign, "sig long, doc_id long, size int, place int")
+    signed = map_batches(alone, sign, "sig long, doc_id long, size int, place int, gap int, tail int")
     # Single tokens are rare; a pair may be held by very many documents, so those are first met in 64 parts.
     salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
     part = Window.partitionBy("sig", "salt")
-    held = F.struct("doc_id", "size", "place")
-    met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id").alias("by"), held.alias("held"))).over(part)["held"])
-    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "size", "place", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
+    held = F.struct("doc_id", "size", "place", "gap", "tail")
+    met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
+    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "size", "place", "gap", "tail", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
     # The parts' smallest documents meet at the smallest of all.
     tops = met.where("place < 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
     over = met.where("place < 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    stars = met.withColumn("c", F.explode("centres")).where(_possible("size", "place", "c.size", "c.place", num, den)).select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).unionByName(over).where("a != b")
+    stars = met.withColumn("c", F.explode("centres")).where(_possible("", "c.", num, den)).select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).unionByName(over).where("a != b")
     stars = materialize(stars.distinct(), "stars")
     counts = rows.where("doc_id is not null and digest is not null").select("doc_id", "counts")
     links = materialize(_verified(stars, counts, known, k, num, den), "links")
     first = materialize(components(links), "first")
 
     # Signatures that hold several components yet: every pair across components that the sizes and places allow.
-    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "size", "place", F.coalesce("component", "doc_id").alias("comp"))
+    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "size", "place", "gap", "tail", F.coalesce("component", "doc_id").alias("comp"))
     mixed = comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
     comp = materialize(comp.join(mixed, "sig"), "mixed")
     x, y = comp.alias("x"), comp.alias("y")
-    near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.size", "x.place", "y.size", "y.place", num, den)
+    near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.", "y.", num, den)
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = materialize(_verified(across, counts, known, k, num, den), "more")
@@ -204,12 +214,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(nodes, rows.doc_id == nodes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _possible(size: str, place: str, size2: str, place2: str, num: int, den: int) -> Column:
-    """Whether sizes and the places of the shared token (-1: unknown) leave room for the similarity."""
-    a, i, b, j = F.col(size), F.col(place), F.col(size2), F.col(place2)
-    small = F.least(a, b)
-    shared = F.when((i < 0) | (j < 0), small).otherwise(F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1))
-    return (den * small >= num * F.greatest(a, b)) & (den * shared >= num * (a + b - shared))
+def _possible(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sizes and the places of the shared token among the tokens that can be shared leave room for the similarity."""
+    at = lambda side: F.when(F.col(f"{side}place") < 0, -1 - F.col(f"{side}place")).otherwise(F.col(f"{side}place"))
+    after = lambda side: F.col(f"{side}tail") - at(side) - F.col(f"{side}gap") - 1
+    shared = F.least(at(x), at(y)) + 1 + F.least(F.col(f"{x}gap"), F.col(f"{y}gap")) + F.least(after(x), after(y))
+    return den * shared >= num * (F.col(f"{x}size") + F.col(f"{y}size") - shared)
 
 
 def class_counts(tokens: np.ndarray) -> bytes:
