@@ -16,7 +16,8 @@ a sketch of 2**SKETCH cells, each with the highest one of its tokens: 2 MB, what
 Equal sets are one class before anything else. Documents of a signature are first compared with three of them, the
 smallest, the largest and one by hash; the links found make components, and only signatures that still hold several components go on to compare
 pairs across them. So a group of near copies costs a star, not all its pairs, and yet no link between components is
-lost. Verification streams the texts behind each centre through Arrow and compares whole sets.
+lost. There a pair is made at the first signature the two share, as far as the FIRST first ones of each tell; the rest
+of its meetings are compared, but make no rows. Verification streams the texts behind each centre through Arrow and compares whole sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ COUNTERS = 128
 SKETCH = 22
 #: A group's documents are compared with at most so many of it, by hash, besides the smallest and the largest, at first.
 CENTRES = 32
+#: The bit that makes a signature of a single token a negative long.
+SINGLE = U64(1 << 63)
+#: A document's first signatures that tell at which one a pair of documents meets first: 8 bytes each, in every row.
+FIRST = 4
 
 
 def token_set(text: bytes, k: int) -> np.ndarray:
@@ -172,26 +179,28 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         frequent, rank, classes = table.value
-        ids, sigs, places, gaps, sizes, tails = [], [], [], [], [], []
+        ids, sets, sigs, places, gaps, sizes, tails = [], [], [], [], [], [], []
         for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("_text"))):
             tokens = token_set(t, k)
             s, p, g, often = signatures(tokens, frequent, rank, num, den, classes)
             ids.append(np.full(len(s), i, np.int64))
-            sigs.append(s)
+            sets.append(np.full(len(s), np.bitwise_xor.reduce(mix(tokens)) if len(tokens) else 0, U64))
+            # Single tokens are the lower longs: a pair that shares one must meet there, where all tokens bound it.
+            sigs.append(np.where(p < 0, s & ~SINGLE, s | SINGLE))
             places.append(p)
             gaps.append(g)
             sizes.append(np.full(len(s), len(tokens), np.int32))
             tails.append(np.where(p < 0, often, len(tokens)).astype(np.int32))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(places, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(tails, np.int32))], ["sig", "doc_id", "size", "place", "gap", "tail"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sets, U64).view(np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(places, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(tails, np.int32))], ["sig", "doc_id", "set", "size", "place", "gap", "tail"])
 
-    signed = map_batches(alone, sign, "sig long, doc_id long, size int, place int, gap int, tail int")
+    signed = map_batches(alone, sign, "sig long, doc_id long, set long, size int, place int, gap int, tail int")
     # Single tokens are rare; a pair may be held by very many documents, so those are first met in 64 parts.
     salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
     part = Window.partitionBy("sig", "salt")
     held = F.struct("doc_id", "size", "place", "gap", "tail")
     met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
-    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "size", "place", "gap", "tail", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
+    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "set", "size", "place", "gap", "tail", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
     # The parts' smallest documents meet at the smallest of all.
     tops = met.where("place < 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
     over = met.where("place < 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -202,11 +211,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first = materialize(components(links), "first")
 
     # Signatures that hold several components yet: every pair across components that the sizes and places allow.
-    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "size", "place", "gap", "tail", F.coalesce("component", "doc_id").alias("comp"))
+    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "set", "size", "place", "gap", "tail", F.coalesce("component", "doc_id").alias("comp"))
     mixed = comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
     comp = materialize(comp.join(mixed, "sig"), "mixed")
+    # A set's (of several texts of an id, each one's) first signatures; a pair meets before if it shares one of the earlier.
+    comp = comp.join(_first_signatures(comp), ["doc_id", "set"])
+    comp = comp.select("sig", "doc_id", "size", "place", "gap", "tail", "comp", *(F.when(F.get("firsts", F.lit(i)) < F.col("sig"), F.get("firsts", F.lit(i))).alias(f"e{i}") for i in range(FIRST)))
     x, y = comp.alias("x"), comp.alias("y")
-    near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.", "y.", num, den)
+    near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.", "y.", num, den) & ~_met_before("x.", "y.")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = materialize(_verified(across, counts, known, k, num, den), "more")
@@ -214,6 +226,18 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(nodes, rows.doc_id == nodes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _first_signatures(held: DataFrame) -> DataFrame:
+    """(doc_id, set, firsts): the FIRST smallest of each set's signatures, which Spark cuts before the shuffle too."""
+    part = Window.partitionBy("doc_id", "set").orderBy("sig")
+    ranked = held.select("doc_id", "set", "sig").withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= FIRST)
+    return ranked.groupBy("doc_id", "set").agg(F.sort_array(F.collect_list("sig")).alias("firsts"))
+
+
+def _met_before(x: str, y: str) -> Column:
+    """Whether two rows of a signature share an earlier one, by plain comparisons inside generated code."""
+    return reduce(or_, (F.coalesce(F.col(f"{x}e{i}") == F.col(f"{y}e{j}"), F.lit(False)) for i in range(FIRST) for j in range(FIRST)))
+
+
 def _possible(x: str, y: str, num: int, den: int) -> Column:
     """Whether sizes and the places of the shared token among the tokens that can be shared leave room for the similarity."""
     at = lambda side: F.when(F.col(f"{side}place") < 0, -1 - F.col(f"{side}place")).otherwise(F.col(f"{side}place"))
