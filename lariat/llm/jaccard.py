@@ -25,8 +25,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +45,7 @@ CENTRES = 32
 #: The bit that makes a signature of a single token a negative long.
 SINGLE = U64(1 << 63)
 #: A document's first signatures that tell at which one a pair of documents meets first: 8 bytes each, in every row.
-FIRST = 4
+FIRST = 8
 
 
 def token_set(text: bytes, k: int) -> np.ndarray:
@@ -179,7 +177,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         frequent, rank, classes = table.value
-        ids, sets, sigs, places, gaps, sizes, tails = [], [], [], [], [], [], []
+        ids, sets, sigs, ats, gaps, sizes, afters = [], [], [], [], [], [], []
         for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("_text"))):
             tokens = token_set(t, k)
             s, p, g, often = signatures(tokens, frequent, rank, num, den, classes)
@@ -187,23 +185,25 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             sets.append(np.full(len(s), np.bitwise_xor.reduce(mix(tokens)) if len(tokens) else 0, U64))
             # Single tokens are the lower longs: a pair that shares one must meet there, where all tokens bound it.
             sigs.append(np.where(p < 0, s & ~SINGLE, s | SINGLE))
-            places.append(p)
+            at = np.where(p < 0, -1 - p, p)
+            ats.append(at.astype(np.int32))
             gaps.append(g)
             sizes.append(np.full(len(s), len(tokens), np.int32))
-            tails.append(np.where(p < 0, often, len(tokens)).astype(np.int32))
+            # Tokens after it that can be shared: of all of the set, or of the frequent ones for a pair of those.
+            afters.append((np.where(p < 0, often, len(tokens)) - at - g - 1).astype(np.int32))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sets, U64).view(np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(places, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(tails, np.int32))], ["sig", "doc_id", "set", "size", "place", "gap", "tail"])
+        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sets, U64).view(np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(ats, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(afters, np.int32))], ["sig", "doc_id", "set", "size", "at", "gap", "after"])
 
-    signed = map_batches(alone, sign, "sig long, doc_id long, set long, size int, place int, gap int, tail int")
+    signed = map_batches(alone, sign, "sig long, doc_id long, set long, size int, at int, gap int, after int")
     # Single tokens are rare; a pair may be held by very many documents, so those are first met in 64 parts.
-    salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
+    salt = F.when(F.col("sig") >= 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
     part = Window.partitionBy("sig", "salt")
-    held = F.struct("doc_id", "size", "place", "gap", "tail")
+    held = F.struct("doc_id", "size", "at", "gap", "after")
     met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
-    met = materialize(met.where("_c.doc_id != _last.doc_id or place < 0").select("sig", "salt", "doc_id", "set", "size", "place", "gap", "tail", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
+    met = materialize(met.where("_c.doc_id != _last.doc_id or sig >= 0").select("sig", "salt", "doc_id", "set", "size", "at", "gap", "after", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
     # The parts' smallest documents meet at the smallest of all.
-    tops = met.where("place < 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
-    over = met.where("place < 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    tops = met.where("sig >= 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
+    over = met.where("sig >= 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     stars = met.withColumn("c", F.explode("centres")).where(_possible("", "c.", num, den)).select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).unionByName(over).where("a != b")
     stars = materialize(stars.distinct(), "stars")
     counts = rows.where("doc_id is not null and digest is not null").select("doc_id", "counts")
@@ -211,12 +211,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first = materialize(components(links), "first")
 
     # Signatures that hold several components yet: every pair across components that the sizes and places allow.
-    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "set", "size", "place", "gap", "tail", F.coalesce("component", "doc_id").alias("comp"))
+    comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "set", "size", "at", "gap", "after", F.coalesce("component", "doc_id").alias("comp"))
     mixed = comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
     comp = materialize(comp.join(mixed, "sig"), "mixed")
     # A set's (of several texts of an id, each one's) first signatures; a pair meets before if it shares one of the earlier.
     comp = comp.join(_first_signatures(comp), ["doc_id", "set"])
-    comp = comp.select("sig", "doc_id", "size", "place", "gap", "tail", "comp", *(F.when(F.get("firsts", F.lit(i)) < F.col("sig"), F.get("firsts", F.lit(i))).alias(f"e{i}") for i in range(FIRST)))
+    comp = comp.select("sig", "doc_id", "size", "at", "gap", "after", "comp", F.filter("firsts", lambda s: s < F.col("sig")).alias("earlier"))
     x, y = comp.alias("x"), comp.alias("y")
     near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.", "y.", num, den) & ~_met_before("x.", "y.")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
@@ -234,15 +234,14 @@ def _first_signatures(held: DataFrame) -> DataFrame:
 
 
 def _met_before(x: str, y: str) -> Column:
-    """Whether two rows of a signature share an earlier one, by plain comparisons inside generated code."""
-    return reduce(or_, (F.coalesce(F.col(f"{x}e{i}") == F.col(f"{y}e{j}"), F.lit(False)) for i in range(FIRST) for j in range(FIRST)))
+    """Whether two rows of a signature share an earlier one; mostly their least ones are equal, which is quick to see."""
+    least = F.coalesce(F.get(f"{x}earlier", F.lit(0)) == F.get(f"{y}earlier", F.lit(0)), F.lit(False))
+    return least | F.arrays_overlap(f"{x}earlier", f"{y}earlier")
 
 
 def _possible(x: str, y: str, num: int, den: int) -> Column:
     """Whether sizes and the places of the shared token among the tokens that can be shared leave room for the similarity."""
-    at = lambda side: F.when(F.col(f"{side}place") < 0, -1 - F.col(f"{side}place")).otherwise(F.col(f"{side}place"))
-    after = lambda side: F.col(f"{side}tail") - at(side) - F.col(f"{side}gap") - 1
-    shared = F.least(at(x), at(y)) + 1 + F.least(F.col(f"{x}gap"), F.col(f"{y}gap")) + F.least(after(x), after(y))
+    shared = F.least(F.col(f"{x}at"), F.col(f"{y}at")) + 1 + F.least(F.col(f"{x}gap"), F.col(f"{y}gap")) + F.least(F.col(f"{x}after"), F.col(f"{y}after"))
     return den * shared >= num * (F.col(f"{x}size") + F.col(f"{y}size") - shared)
 
 
