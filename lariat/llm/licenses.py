@@ -8,6 +8,7 @@ one stays, and of equal intervals the one of the rule that comes first.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,12 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 _BASE_AT = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
 _V = "(?: version| v)?"
 
-#: (label, keyword, name, identifier): the words by which a license is called, more special ones first.
+#: (label, keyword, name, identifier): the words by which a license is called, more special ones first. Each match of the
+#: name holds the keyword, with a space at either end.
 FAMILIES = [
     ("agpl", "affero", f"gnu affero general public license(?:{_V} 3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
     ("agpl", "agpl", f"agpl(?:{_V} ?3(?: 0)?)?", "agpl 1 0(?: only| or later)?"),
-    ("lgpl", "lesser", f"gnu (?:lesser|library) general public license(?:{_V} (?:2 1|2|3)(?: 0)?)?", "lgpl (?:2 0|2 1|3 0)(?: only| or later)?"),
+    ("lgpl", "general public license", f"gnu (?:lesser|library) general public license(?:{_V} (?:2 1|2|3)(?: 0)?)?", "lgpl (?:2 0|2 1|3 0)(?: only| or later)?"),
     ("lgpl", "lgpl", f"lgpl(?:{_V} ?(?:2 1|2|3)(?: 0)?)?", "lgpl (?:2 0|2 1|3 0)(?: only| or later)?"),
     ("gfdl", "documentation license", f"gnu free documentation license(?:{_V} 1 [123])?", "gfdl 1 [123](?: only| or later)?"),
     ("gpl-3.0", "general public license", f"gnu general public license(?: as published by the free software foundation)?{_V} 3(?: 0)?", "gpl 3 0(?: only| or later)?"),
@@ -88,9 +90,18 @@ FORMS = [
 STEMS = ["licen", "cc by", "creative commons", "cc0", "spdx", "public domain", "all rights reserved", "gpl"]
 
 
+def _literal(regex: str) -> str:
+    """The plain characters with which every match begins."""
+    return re.match("[a-z0-9 ]*(?![?*])", regex)[0]
+
+
 def rules() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, regular expression, weight), in order of priority: forms first, then families."""
-    out = [(label, key, f"(?<= )(?:{form.format(n=name, i=ident)})(?= )", weight) for form, weight in FORMS for label, key, name, ident in FAMILIES]
+    """(label, keyword, regular expression, weight), in order of priority: forms first, then families.
+
+    Every text that a regular expression matches holds its keyword: that of the name, or how the form with the
+    identifier begins.
+    """
+    out = [(label, _literal(form.format(n=name, i=ident)) if "{i}" in form else key, f"(?<= )(?:{form.format(n=name, i=ident)})(?= )", weight) for form, weight in FORMS for label, key, name, ident in FAMILIES]
     # Names that are licenses by themselves.
     return out + [(label, key, f"(?<= )(?:{name})(?= )", 0.6) for label, key, name, _ in FAMILIES if "licen" in name or any(s in name for s in STEMS)]
 

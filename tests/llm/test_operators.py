@@ -283,3 +283,39 @@ def test_licenses(docs, empty, spark):
     assert (got[n - 4]["labels"], got[n - 3]["labels"], got[n - 2]["labels"], got[n - 1]["labels"]) == ("cc-by,cc-by-nc", "apache-2.0", "mit", "lgpl")
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
     assert len(licenses.rules()) > 300
+
+
+def sampled(rng, parsed):
+    """A text that a parsed regular expression matches, at random; looks around are left out."""
+    out = ""
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            kind, y = rng.choice(x)
+            out += chr(y if str(kind) == "LITERAL" else rng.randint(*y))
+        elif name == "BRANCH":
+            out += sampled(rng, rng.choice(x[1]))
+        elif name == "SUBPATTERN":
+            out += sampled(rng, x[3])
+        elif name == "MAX_REPEAT":
+            out += "".join(sampled(rng, x[2]) for _ in range(rng.randint(x[0], min(x[1], 4))))
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT")
+    return out
+
+
+@pytest.fixture(scope="module")
+def statements():
+    """(label, keyword, weight, text): texts made of one rule's form alone, several for each rule."""
+    rng = random.Random(12)
+    return [(label, key, weight, sampled(rng, re._parser.parse(rule))) for label, key, rule, weight in licenses.rules() for _ in range(6)]
+
+
+def test_license_rules_hold_their_keywords(spark, statements):
+    assert not [(label, key, t) for label, key, _, t in statements if key not in f" {t} "]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, x[3]) for i, x in enumerate(statements) if x[3].startswith("spdx")], "doc_id long, text string")).collect()}
+    assert len(got) == 6 * len(licenses.FAMILIES)
+    # A phrase that always counts, as "cc by", may add its own label.
+    assert not [(statements[i], r["labels"], r["score"]) for i, r in got.items() if set(r["labels"].split(",")) - {""} != {statements[i][0], *r["base_labels"].split(",")} - {""} or r["score"] != 1.0]
