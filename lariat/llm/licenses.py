@@ -1,8 +1,8 @@
 """License scans with Spark expressions only: ordered signature rules over normalized words.
 
 A text is put in lower case and cut into words, one space apart. Rules are regular expressions over that form. A rule is
-tried where its keyword occurs, and no rule where none of a few stems occurs; so most texts meet a handful of
-``contains``. A detection is an interval of words. Where one detection's interval lies within another's, the longer
+tried where its keyword occurs, and no rule where none of a few stems occurs, one of which every match of a rule
+holds; so most texts meet a handful of ``contains``. A detection is an interval of words. Where one detection's interval lies within another's, the longer
 one stays, and of equal intervals the one of the rule that comes first.
 """
 
@@ -86,8 +86,10 @@ FORMS = [
     ("licen[cs]e {n}", 0.7),
     ("{n} licen[cs]e", 0.7),
 ]
-#: What a text must hold for any rule to be tried.
+#: What makes a name a license by itself.
 STEMS = ["licen", "cc by", "creative commons", "cc0", "spdx", "public domain", "all rights reserved", "gpl"]
+#: What a text must hold for any rule to be tried: a stem, or a name that a form takes without one.
+GATE = [*STEMS, "bsd", " mit ", " isc ", "zlib", "ncsa", "postgresql"]
 
 
 def _literal(regex: str) -> str:
@@ -130,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("_t"))
     rows = rows.withColumn("n_words", F.when(F.col("_t") == "  ", F.lit(0).cast("long")).otherwise(_spaces(F.col("_t")) - 1))
-    gate = reduce(lambda a, b: a | b, [F.contains("_t", F.lit(s)) for s in STEMS])
+    gate = reduce(lambda a, b: a | b, [F.contains("_t", F.lit(s)) for s in GATE])
     # From here on other texts are null, and so is all that is drawn from them.
     rows = rows.select("doc_id", "n_words", F.when(gate, F.col("_t")).alias("_t"))
     base = F.when(F.col("_t").isNotNull(), F.regexp_extract_all("_t", F.lit(_BASE_AT), 0))

@@ -319,3 +319,13 @@ def test_license_rules_hold_their_keywords(spark, statements):
     assert len(got) == 6 * len(licenses.FAMILIES)
     # A phrase that always counts, as "cc by", may add its own label.
     assert not [(statements[i], r["labels"], r["score"]) for i, r in got.items() if set(r["labels"].split(",")) - {""} != {statements[i][0], *r["base_labels"].split(",")} - {""} or r["score"] != 1.0]
+
+
+def test_license_gate_loses_nothing(spark, statements, monkeypatch):
+    said = ["Released under the BSD 3-Clause.", "distributed under the MIT", "available under zlib", "under the terms of ISC", "covered by NCSA", "provided under PostgreSQL", "commit to it", "plain words"]
+    df = spark.createDataFrame(list(enumerate(said + texts(random.Random(13), 100) + [x[3] for x in statements if not x[3].startswith("spdx")][::3])), "doc_id long, text string")
+    gated = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [(gated[i]["labels"], gated[i]["score"]) for i in range(len(said))] == [("bsd-3-clause", 0.95), ("mit", 0.9), ("zlib", 0.95), ("isc", 0.9), ("ncsa", 0.9), ("postgresql", 0.95), ("", 0.0), ("", 0.0)]
+    assert not [(label, t) for label, _, _, t in statements if not any(s in f" {t} " for s in licenses.GATE)]
+    monkeypatch.setattr(licenses, "GATE", [""])
+    assert gated == {r["doc_id"]: r for r in licenses.scan(df).collect()}
