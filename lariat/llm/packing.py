@@ -1,9 +1,9 @@
 """Best-fit packing by bin completion: branch and bound over fillings of the sequence with the largest document.
 
 Only lengths matter, so the search works on their counts: at most one number per length, whatever the corpus. The
-largest length left is completed by the fillings that no other filling dominates (one dominates another if the latter's
-items can be dealt into the former's), best fit first; the rest is packed recursively under bounds on the waste, with
-the best-fit filling as the incumbent. A filling is used as often as the counts allow before the next is looked for.
+largest length left is completed by the fillings that no single length left dominates (put in the place of items that are
+together no longer), best fit first; the rest is packed likewise under a bound on the sequences it needs, with best-fit
+packings of all that is left as incumbents. The search is bounded, see ``plan``.
 
 Documents then find their places without being gathered: a document's number within its length, in gapless
 numbers, falls into one of the filling runs, which are at most a few thousand rows.
@@ -11,7 +11,11 @@ numbers, falls into one of the filling runs, which are at most a few thousand ro
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,98 +28,178 @@ from lariat.llm.common import configure, map_batches, numbered, texts_of
 Run = tuple[tuple[int, ...], int]
 
 
-def _completions(room: int, lengths: list[int], counts: dict[int, int], most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, by what they fill; at most ``most`` are looked at, fullest first.
+def _bound(left: list[int], capacity: int) -> int:
+    """Sequences that any packing of what is left needs: Martello and Toth's bound, the most over all thresholds.
 
-    Depth first over lengths in descending order, so the first filling is that of best-fit decreasing. A filling to
-    which another length that is left could be added is dominated, and so is one that a single longer item replaces.
+    Lengths over a half need a sequence each; shorter ones, from a threshold on, go beside those they fit or need more.
     """
-    found: list[tuple[int, ...]] = []
-    smallest = min((x for x in lengths if counts[x]), default=room + 1)
-
-    def extend(at: int, left: int, taken: tuple[int, ...]) -> bool:
-        if left < smallest or at == len(lengths):
-            found.append(taken)
-            return left == 0 or len(found) >= most
-        if len(found) >= most:
+    n = np.asarray(left, np.int64)
+    items, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    at = np.arange(half + 1)
+    many, beside = items[capacity] - items[half], tokens[capacity - at] - tokens[half]
+    room = (items[capacity - at] - items[half]) * capacity - beside
+    short = tokens[half] - tokens[np.maximum(at - 1, 0)]
+    return int((many + np.maximum(0, -((room - short) // capacity))).max())
+
+
+def _best_fit(left: list[int], capacity: int) -> list[Run]:
+    """Best-fit decreasing, over counts: each item goes where the least room that holds it is left."""
+    rooms: list[int] = []
+    open_: dict[int, list[Run]] = {}
+
+    def put(filling: tuple[int, ...], room: int, uses: int) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((filling, uses))
+
+    for x in range(capacity, 0, -1):
+        n = left[x]
+        while n:
+            at = bisect_left(rooms, x)
+            if at < len(rooms):
+                room = rooms[at]
+                filling, uses = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, filling, uses = capacity, (), n
+            k = room // x
+            whole = min(uses, n // k)
+            if whole:
+                put((*filling, *(x,) * k), room - k * x, whole)
+                n, uses = n - whole * k, uses - whole
+            if uses and n:
+                put((*filling, *(x,) * n), room - n * x, 1)
+                n, uses = 0, uses - 1
+            if uses and filling:
+                put(filling, room, uses)
+    return [run for room in rooms for run in open_[room]]
+
+
+def _dominated(filling: tuple[int, ...], waste: int, left: list[int], some: int) -> bool:
+    """Whether a length that is left over could take the place of none, one or several items of a filling.
+
+    It must fit in their place and be no shorter than they are together. Sums of items and lengths left are bits.
+    """
+    for y in set(filling):
+        if left[y] == filling.count(y):
+            some &= ~(1 << y)
+    sums, below = 1, 0
+    for y in (*sorted(set(filling)), 0):
+        near, have = sums, 0
+        while have < waste:
+            step = min(have + 1, waste - have)
+            near |= near << step
+            have += step
+        # Lengths up to y take the place of shorter items only.
+        longer = some >> below + 1 << below + 1
+        if near & (longer & (2 << y) - 1 if y else longer):
             return True
-        fits = False
-        while at < len(lengths):
-            x = lengths[at]
-            if x <= left and counts[x] - taken.count(x) > 0:
-                fits = True
-                if extend(at, left - x, (*taken, x)):
-                    return True
-            at += 1
-        if not fits:
-            found.append(taken)
-        return False
-
-    extend(0, room, ())
-    found.sort(key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
-    return found
+        for _ in range(filling.count(y) if y else 0):
+            sums |= sums << y
+        below = y
+    return False
+
+
+def _completions(room: int, left: list[int], most: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, fullest first, out of the first ``most`` to which no length left can be added.
+
+    Depth first, the longest first and as many of it as fit, so that the first one looked at is greedy.
+    """
+    lengths = [x for x in range(1, room + 1) if left[x]]
+    total = list(accumulate((x * left[x] for x in lengths), initial=0))
+    found: list[tuple[int, tuple[int, ...]]] = []
+    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(len(lengths), room, room + 1, ())]
+    while stack and len(found) < most:
+        end, free, least, taken = stack.pop()
+        at = bisect_right(lengths, free, 0, end) - 1
+        if at < 0:
+            found.append((free, taken))
+            continue
+        x = lengths[at]
+        top = min(free // x, left[x])
+        for k in range(top + 1):
+            # A length of which some is left over must not fit in the end.
+            over = x if k < left[x] else least
+            if free - k * x - total[at] < over:
+                stack.append((at, free - k * x, over, (*taken, *(x,) * k)))
+    found.sort(key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
+    some = sum(1 << x for x in lengths)
+    return [f for free, f in found if not _dominated(f, free, left, some)] or [found[0][1]]
+
+
+def _branches(left: list[int], capacity: int, most: int) -> Iterator[Run]:
+    """What the sequences of the largest length left may hold: each filling as often as the counts allow, then once."""
+    largest = max(x for x, n in enumerate(left) if n)
+    left[largest] -= 1
+    fills = [(largest, *f) for f in _completions(capacity - largest, left, most)]
+    left[largest] += 1
+    uses = [min(left[x] // f.count(x) for x in set(f)) for f in fills]
+    yield from zip(fills, uses)
+    yield from ((f, 1) for f, n in zip(fills, uses) if n > 1)
 
 
 def plan(counts: dict[int, int], capacity: int, nodes: int = 2000, most: int = 200) -> list[Run]:
     """Fillings and how often each is used; together they use every length as often as ``counts`` says.
 
-    For each largest length left, the search branches over completions and bounds by waste: a branch is cut when its
-    waste so far is not below the incumbent's. ``nodes`` bounds the branches per decision; lengths over ``capacity``
-    or under 1 are refused.
+    The sequences of the largest length left are filled in each way that may be needed, and the rest likewise, to any
+    depth. A branch is cut where the sequences so far and the bound on those of the rest aren't fewer than the incumbent's,
+    or where the same rest came up before after as few. At each branch, its sequences and a best-fit packing of the rest may
+    become the incumbent. The search ends when the incumbent meets the bound of the whole, and else after ``nodes``
+    branches beyond its first way down; ``most`` bounds the fillings looked at for one branch. Only where either runs out
+    may a packing in fewer sequences be missed. Lengths over ``capacity`` or under 1 are refused.
     """
     if any(x < 1 or x > capacity for x in counts):
         raise ValueError("lengths must be between 1 and the capacity")
-    left = {x: int(n) for x, n in counts.items() if n > 0}
-    runs: list[Run] = []
-    lengths = sorted(left, reverse=True)
-    while left:
-        largest = lengths[0]
-        left[largest] -= 1
-        fill = _best(capacity - largest, lengths, left, capacity, nodes, most)
-        left[largest] += 1
-        bin_ = (largest, *fill)
-        uses = min(left[x] // bin_.count(x) for x in set(bin_))
-        runs.append((bin_, uses))
-        for x in set(bin_):
-            left[x] -= uses * bin_.count(x)
-            if not left[x]:
-                del left[x]
-        lengths = [x for x in lengths if x in left]
-    return runs
-
-
-def _best(room: int, lengths: list[int], left: dict[int, int], capacity: int, nodes: int, most: int) -> tuple[int, ...]:
-    """The completion to use: exact if there is one; else the one whose own waste and the next bin's are least."""
-    usable = [x for x in lengths if x <= room]
-    if not usable:
-        return ()
-    fills = _completions(room, usable, left, most)
-    best = fills[0]
-    waste = room - sum(best)
-    if waste == 0 or len(fills) == 1:
+    left = [0] * (capacity + 1)
+    for x, n in counts.items():
+        left[x] = max(int(n), 0)
+    need, best = _bound(left, capacity), _best_fit(left, capacity)
+    fewest = sum(uses for _, uses in best)
+    if fewest == need:
         return best
-    incumbent, seen = None, 0
-    for f in fills:
-        own = room - sum(f)
-        if incumbent is not None and own >= incumbent[0]:  # the waste bound: what follows can't make up for it
-            break
-        for x in f:
-            left[x] -= 1
-        after = next((x for x in lengths if left[x] > 0), None)
-        total = own
-        if after is not None:
-            left[after] -= 1
-            follow = _completions(capacity - after, [x for x in lengths if x <= capacity - after], left, 8)
-            total += capacity - after - sum(follow[0])
-            left[after] += 1
-        for x in f:
-            left[x] += 1
-        if incumbent is None or total < incumbent[0]:
-            incumbent = (total, f)
-        seen += 1
-        if seen >= max(1, nodes // 200):
-            break
-    return incumbent[1]
+    path: list[Run] = []
+    used, first, seen = 0, True, {}
+    stack = [_branches(left, capacity, most)]
+
+    def use(run: Run, sign: int) -> None:
+        for x in run[0]:
+            left[x] -= sign * run[1]
+
+    while stack and nodes > 0:
+        run = next(stack[-1], None)
+        if run is None:
+            first = False
+            stack.pop()
+            if path:
+                run = path.pop()
+                use(run, -1)
+                used -= run[1]
+            continue
+        nodes -= not first
+        use(run, 1)
+        path.append(run)
+        used += run[1]
+        rest = hashlib.blake2b(np.asarray(left, np.int64).tobytes(), digest_size=16).digest()
+        if used + _bound(left, capacity) < fewest and used < seen.get(rest, used + 1):
+            seen[rest] = used
+            tail = _best_fit(left, capacity)
+            n = used + sum(uses for _, uses in tail)
+            if n < fewest:
+                best, fewest = [*path, *tail], n
+                if fewest == need:
+                    break
+            # Where the packing of the rest meets its own bound, nothing below is better.
+            if used + _bound(left, capacity) < fewest:
+                stack.append(_branches(left, capacity, most))
+                continue
+        first = False
+        path.pop()
+        use(run, -1)
+        used -= run[1]
+    return best
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

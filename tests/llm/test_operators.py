@@ -329,3 +329,41 @@ def test_license_gate_loses_nothing(spark, statements, monkeypatch):
     assert not [(label, t) for label, _, _, t in statements if not any(s in f" {t} " for s in licenses.GATE)]
     monkeypatch.setattr(licenses, "GATE", [""])
     assert gated == {r["doc_id"]: r for r in licenses.scan(df).collect()}
+
+
+def fewest(items, capacity):
+    """Sequences needed, from all subsets: the fewest, and the least in the last one."""
+    best = [(1, 0)]
+    for m in range(1, 1 << len(items)):
+        over = lambda k, r, x: (k, r + x) if r + x <= capacity else (k + 1, x)
+        best.append(min(over(*best[m ^ 1 << i], x) for i, x in enumerate(items) if m >> i & 1))
+    return best[-1][0]
+
+
+def used(runs):
+    return sum(n for _, n in runs)
+
+
+def test_packing_plan_is_searched():
+    # One bin of look-ahead takes a sequence more for each of these.
+    for items in ([15, 23, 24, 26, 27, 29, 31, 39, 42, 44, 48, 50], [21, 22, 27, 29, 29, 29, 35, 37, 39, 42, 44, 44, 49, 49]):
+        assert used(packing.plan({x: items.count(x) for x in items}, 100)) == -(-sum(items) // 100)
+    rng = random.Random(14)
+    for _ in range(150):
+        capacity = rng.choice([10, 30, 100])
+        items = [rng.randint(1 + capacity // rng.choice([5, 10, 100]), rng.choice([capacity // 2, capacity])) for _ in range(rng.randint(1, 9))]
+        counts = {x: items.count(x) for x in items}
+        runs = packing.plan(counts, capacity)
+        assert sorted(x for f, n in runs for x in f * n) == sorted(items) and all(sum(f) <= capacity for f, _ in runs)
+        assert packing._bound([counts.get(x, 0) for x in range(capacity + 1)], capacity) <= fewest(items, capacity) == used(runs)
+    assert used(packing.plan({1: 2000}, 1024)) == 2 and packing.plan({}, 1024) == []
+
+
+def test_packing_dominance():
+    left = [0] * 11
+    left[2], left[3], left[5] = 2, 1, 1
+    some = 1 << 2 | 1 << 3 | 1 << 5
+    assert packing._dominated((3, 2), 0, left, some)  # 5 in the place of both
+    assert packing._dominated((2,), 1, left, some)  # 3 in the place of 2
+    assert packing._dominated((5,), 2, left, some)  # 2 can be added
+    assert not packing._dominated((5,), 1, left, some) and not packing._dominated((2, 2), 0, left, some)
