@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 U64 = np.uint64
 #: Rows of an Arrow batch; with texts of 100 kB a batch stays near 25 MB.
@@ -28,15 +29,39 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lariat-shared")
+    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset in local mode, as in tests."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "lariat-shared")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/lariat-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lariat_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; no plan that is still to run may read them."""
+    for df in frames:
+        if path := getattr(df, "_lariat_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def whole_ids(df: DataFrame, column: str) -> Column:
+    """The id column as a long; other types than whole numbers are refused, as a cast would merge or lose ids."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(column).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +83,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], rank: str = "r
     return local.join(starts, [*keys, "_part"]).withColumn(rank, F.col("_start") + F.col("_local")).drop("_start", "_local", "_part")
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 23):
+def id_filter(ids: DataFrame, column: str):
     """A column function that is true for every id of ``ids`` and, by chance, for a few others.
 
-    A set of 2**bits hash positions, 1 MB whatever the number of ids, goes out with the function. It spares a shuffle the
-    rows that surely aren't meant; an exact join decides about the others.
+    A set of hash positions goes out with the function, about eight for each id, 8 kB to 32 MB. It spares a shuffle the
+    rows that surely aren't meant; an exact join decides about the others, of which there are more beyond some 100
+    million ids. ids is read twice.
     """
-    rows = ids.select((F.shiftrightunsigned(F.xxhash64(column), 64 - bits)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect()
+    bits = min(28, max(16, (8 * ids.count()).bit_length()))
+    rows = ids.select((F.shiftrightunsigned(F.xxhash64(column), 64 - bits)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[[r["w"] for r in rows]] = [r["b"] for r in rows]
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     table = ids.sparkSession.sparkContext.broadcast(table.view(U64))
 
     @F.arrow_udf("boolean")

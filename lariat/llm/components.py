@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import materialize
+from lariat.llm.common import discard, materialize
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -25,7 +25,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a, b); a component is its smallest node.
 
-    Alternating large and small star steps; every round is written to the shared folder. Null ends and loops are
+    Alternating large and small star steps; every round is written to the shared folder, and the round before deleted. Null ends and loops are
     passed over. Raises if it hasn't settled after ``rounds`` rounds.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -35,9 +35,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         after = materialize(_stars(_stars(edges, False), True), "stars")
         same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(edges)
         edges = after
         if same:
             break
     else:
         raise RuntimeError("components have not settled")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._lariat_path = edges._lariat_path  # for discard
+    return out

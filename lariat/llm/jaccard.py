@@ -14,10 +14,12 @@ a sketch of 2**SKETCH cells, each with the highest one of its tokens: 2 MB, what
   their frequent tokens alone.
 
 Equal sets are one class before anything else. Documents of a signature are first compared with three of them, the
-smallest, the largest and one by hash; the links found make components, and only signatures that still hold several components go on to compare
-pairs across them. So a group of near copies costs a star, not all its pairs, and yet no link between components is
-lost. There a pair is made at the first signature the two share, as far as the FIRST first ones of each tell; the rest
-of its meetings are compared, but make no rows. Verification streams the texts behind each centre through Arrow and compares whole sets.
+smallest, the largest and one by hash, a frequent token's in parts of some PART documents; the links found make components.
+Only signatures that still hold several components go on, and there only the documents outside the signature's largest
+component look for partners, in other components. So a group of near copies costs a star and the documents that it leaves
+out times its size, not all its pairs, and yet no link between components is lost. A pair is made at the first signature
+the two share, as far as the FIRST first ones of each tell. Verification streams the texts behind each centre through
+Arrow and compares whole sets.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import U64, bytes_of, configure, id_filter, map_batches, materialize, mix, shingle_hashes, word_hashes
+from lariat.llm.common import U64, bytes_of, configure, discard, id_filter, map_batches, materialize, mix, shingle_hashes, whole_ids, word_hashes
 from lariat.llm.components import components
 
 #: Most frequent tokens that are broadcast: 8 bytes and a count each, 1 MB.
@@ -40,8 +42,12 @@ FREQUENT = 1 << 16
 COUNTERS = 128
 #: Bits of a token that choose its cell in the sketch of counts.
 SKETCH = 22
-#: A group's documents are compared with at most so many of it, by hash, besides the smallest and the largest, at first.
+#: A group's third centre is the least by one of so many hashes, which one goes by signature.
 CENTRES = 32
+#: About so many documents of a signature meet in one part at first.
+PART = 512
+#: Tasks of fewer tokens count those too that one of their documents holds; others lose at most one of a token.
+WHOLE = 1 << 19
 #: The bit that makes a signature of a single token a negative long.
 SINGLE = U64(1 << 63)
 #: A document's first signatures that tell at which one a pair of documents meets first: 8 bytes each, in every row.
@@ -70,24 +76,33 @@ def count_classes(counted: DataFrame) -> np.ndarray:
     return packed.view(U64)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(signature, place, gap, number of frequent tokens) of one sorted token set; frequent: sorted hashes, rank: their order.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int, classes: np.ndarray | None = None, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """(signature, place, gap, number of frequent tokens, parts) of one sorted token set.
 
-    A pair's place is -1 - p, where p is that of its earlier token among the set's frequent ones; the gap leads to the later one.
+    frequent: sorted hashes, rank: their order, held: how many documents hold them. A pair's place is -1 - p, where p is
+    that of its earlier token among the set's frequent ones; the gap leads to the later one. parts: in how many a
+    signature's documents are dealt at first, by the count of its token or the lesser one of its two.
     """
+    none = np.zeros(0, np.int32)
     n = len(tokens)
     if not n or num * n > den * (n - 1):  # one token more or less is too much already: only equal sets link
         if not n or num * (n + 1) > den * n:
-            return np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+            return np.zeros(0, U64), none, none, 0, none
     at = np.searchsorted(frequent, tokens)
     common = (at < len(frequent)) & (frequent[np.minimum(at, max(len(frequent) - 1, 0))] == tokens) if len(frequent) else np.zeros(n, bool)
     rare = tokens[~common]  # in order of hash, which is random
+    level = np.zeros(len(rare), np.int32)
     if classes is not None:
         cell = rare >> U64(64 - SKETCH)
-        rare = rare[np.argsort((classes[(cell >> U64(4)).astype(np.int64)] >> ((cell & U64(15)) << U64(2)) & U64(15)).astype(np.uint8), kind="stable")]
-    often = tokens[common][np.argsort(rank[at[common]], kind="stable")]
+        level = (classes[(cell >> U64(4)).astype(np.int64)] >> ((cell & U64(15)) << U64(2)) & U64(15)).astype(np.int32)
+        order = np.argsort(level, kind="stable")
+        rare, level = rare[order], level[order]
+    order = np.argsort(rank[at[common]], kind="stable")
+    often = tokens[common][order]
+    holders = np.ones(len(often), np.int64) if held is None else held[at[common]][order]
     prefix = n - _least_overlap(n, num, den) + 1
     sigs, places, gaps = [rare[:prefix]], [np.arange(min(prefix, len(rare)), dtype=np.int32)], [np.zeros(min(prefix, len(rare)), np.int32)]
+    parts = [np.left_shift(2, level[:prefix]) // PART + 1]
     if len(rare) < prefix:
         own = _size_class(n, num, den)
         for c in (own, own + 1):
@@ -106,8 +121,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num:
                 sigs.append(mix(np.minimum(x, y) * U64(0x9E3779B97F4A7C15) + np.maximum(x, y) + U64(c)))
                 places.append((-1 - order[same]).astype(np.int32))
                 gaps.append((order[same + step] - order[same]).astype(np.int32))
+                parts.append((np.minimum(holders[order[same]], holders[order[same + step]]) // PART + 1).astype(np.int32))
                 step += 1
-    return np.concatenate(sigs), np.concatenate(places), np.concatenate(gaps), len(often)
+    return np.concatenate(sigs), np.concatenate(places), np.concatenate(gaps), len(often), np.concatenate(parts)
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,14 +132,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     A row's set is that of its whole text; a text with fewer than k words has one shingle, and one without words
     (null and empty texts) has none and links with nothing. Rows that share an id are one node, which has the links of
     each of them. A null id can't be a node: its component is null. An empty table gives no rows. Only the id and
-    the text are read; other columns are not carried. num / den must be at least a half.
+    the text are read; other columns are not carried. Ids must be whole numbers. num / den must be at least a half.
     """
     spark = docs.sparkSession
     configure(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    narrow = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).alias("_text"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's size and digest; then this task's tokens that several of its documents hold."""
+        """Each document's size and digest; then this task's tokens, of many only those that several of its documents hold."""
         held: list[np.ndarray] = []
         size = 0
         names = ["doc_id", "n_shingles", "digest", "counts", "token", "n"]
@@ -131,9 +147,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         def flush(rest: bool) -> pa.RecordBatch | None:
             if not held:
                 return None
-            token, count = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
             held.clear()
-            token, count = token[count > 1], count[count > 1]
+            token, count = np.unique(every, return_counts=True)
+            if len(every) >= WHOLE:
+                token, count = token[count > 1], count[count > 1]
             nothing = pa.nulls(len(token), pa.int64())
             return pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count)], names)
 
@@ -157,17 +175,19 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     seen = materialize(narrow.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, counts binary, token long, n long"), "tokens")
     rows = seen.where("token is null").select("doc_id", "n_shingles", "digest", "counts")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    # At most FREQUENT / 2 tokens can have this count, as each document counts a token once.
+    # At most FREQUENT / 2 tokens can have this count, as each document counts a token once; a count misses total / WHOLE
+    # at most, a sixteenth of it.
     floor = max(32, -(-2 * total // FREQUENT))
     counted = materialize(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "counted")
     top = counted.where(F.col("n") >= floor).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     ordered = sorted((int(r["n"]), int(r["token"]) & (1 << 64) - 1) for r in top)
     hashes = np.array([h for _, h in ordered], U64)
     by_hash = np.argsort(hashes)
-    table = spark.sparkContext.broadcast((hashes[by_hash], by_hash, count_classes(counted)))
+    holders = np.array([n for n, _ in ordered], np.int64)
+    table = spark.sparkContext.broadcast((hashes[by_hash], by_hash, count_classes(counted.where(F.col("n") < floor)), holders[by_hash]))
 
-    # One document stands for all with its set.
-    keyed = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # One document stands for all with its set. Written, so that the join may split a set that very many hold.
+    keyed = materialize(rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "keyed")
     copies = materialize(rows.where("doc_id is not null").join(keyed, "digest").where("doc_id != rep").select("doc_id", "rep").distinct(), "copies")
     known = narrow.where("doc_id is not null and _text is not null")
     maybe_copy = id_filter(copies, "doc_id")
@@ -176,15 +196,16 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     alone = alone.unionByName(rest)
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
-        frequent, rank, classes = table.value
-        ids, sets, sigs, ats, gaps, sizes, afters = [], [], [], [], [], [], []
+        frequent, rank, classes, holders = table.value
+        ids, sets, sigs, salts, ats, gaps, sizes, afters = [], [], [], [], [], [], [], []
         for i, t in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("_text"))):
             tokens = token_set(t, k)
-            s, p, g, often = signatures(tokens, frequent, rank, num, den, classes)
+            s, p, g, often, parts = signatures(tokens, frequent, rank, num, den, classes, holders)
             ids.append(np.full(len(s), i, np.int64))
             sets.append(np.full(len(s), np.bitwise_xor.reduce(mix(tokens)) if len(tokens) else 0, U64))
             # Single tokens are the lower longs: a pair that shares one must meet there, where all tokens bound it.
             sigs.append(np.where(p < 0, s & ~SINGLE, s | SINGLE))
+            salts.append(np.where(parts > 1, mix(np.array([i], np.int64).view(U64)).astype(np.int64) % parts, -1).astype(np.int32))
             at = np.where(p < 0, -1 - p, p)
             ats.append(at.astype(np.int32))
             gaps.append(g)
@@ -192,37 +213,41 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             # Tokens after it that can be shared: of all of the set, or of the frequent ones for a pair of those.
             afters.append((np.where(p < 0, often, len(tokens)) - at - g - 1).astype(np.int32))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(sigs, U64).view(np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(sets, U64).view(np.int64)), pa.array(cat(sizes, np.int32)), pa.array(cat(ats, np.int32)), pa.array(cat(gaps, np.int32)), pa.array(cat(afters, np.int32))], ["sig", "doc_id", "set", "size", "at", "gap", "after"])
+        columns = {"sig": cat(sigs, U64).view(np.int64), "salt": cat(salts, np.int32), "doc_id": cat(ids, np.int64), "set": cat(sets, U64).view(np.int64), "size": cat(sizes, np.int32), "at": cat(ats, np.int32), "gap": cat(gaps, np.int32), "after": cat(afters, np.int32)}
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
-    signed = map_batches(alone, sign, "sig long, doc_id long, set long, size int, at int, gap int, after int")
-    # Single tokens are rare; a pair may be held by very many documents, so those are first met in 64 parts.
-    salt = F.when(F.col("sig") >= 0, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
+    # salt: a document's part of a signature that many may hold, -1 where all of them meet.
+    signed = map_batches(alone, sign, "sig long, salt int, doc_id long, set long, size int, at int, gap int, after int")
     part = Window.partitionBy("sig", "salt")
     held = F.struct("doc_id", "size", "at", "gap", "after")
-    met = signed.withColumn("salt", salt).withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
-    met = materialize(met.where("_c.doc_id != _last.doc_id or sig >= 0").select("sig", "salt", "doc_id", "set", "size", "at", "gap", "after", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
+    met = signed.withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
+    met = materialize(met.where("_c.doc_id != _last.doc_id or salt >= 0").select("sig", "salt", "doc_id", "set", "size", "at", "gap", "after", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
     # The parts' smallest documents meet at the smallest of all.
-    tops = met.where("sig >= 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
-    over = met.where("sig >= 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    tops = met.where("salt >= 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
+    over = met.where("salt >= 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     stars = met.withColumn("c", F.explode("centres")).where(_possible("", "c.", num, den)).select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).unionByName(over).where("a != b")
     stars = materialize(stars.distinct(), "stars")
     counts = rows.where("doc_id is not null and digest is not null").select("doc_id", "counts")
-    links = materialize(_verified(stars, counts, known, k, num, den), "links")
-    first = materialize(components(links), "first")
+    links = _verified(stars, counts, known, k, num, den)
+    settled = components(links)
+    first = materialize(settled, "first")
 
-    # Signatures that hold several components yet: every pair across components that the sizes and places allow.
+    # Signatures that hold several components yet: what isn't in their largest one looks for partners in other components,
+    # as far as sizes and places allow.
     comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "set", "size", "at", "gap", "after", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
+    mixed = comp.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("sig").agg(F.max(F.struct("_n", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("sig", "top")
     comp = materialize(comp.join(mixed, "sig"), "mixed")
     # A set's (of several texts of an id, each one's) first signatures; a pair meets before if it shares one of the earlier.
-    comp = comp.join(_first_signatures(comp), ["doc_id", "set"])
-    comp = comp.select("sig", "doc_id", "size", "at", "gap", "after", "comp", F.filter("firsts", lambda s: s < F.col("sig")).alias("earlier"))
-    x, y = comp.alias("x"), comp.alias("y")
-    near = (F.col("x.comp") < F.col("y.comp")) & _possible("x.", "y.", num, den) & ~_met_before("x.", "y.")
+    told = comp.join(_first_signatures(comp), ["doc_id", "set"])
+    told = told.select("sig", "doc_id", "size", "at", "gap", "after", "comp", "top", F.filter("firsts", lambda s: s < F.col("sig")).alias("earlier"))
+    x, y = told.where("comp != top").alias("x"), told.alias("y")
+    once = (F.col("x.comp") < F.col("y.comp")) | (F.col("x.comp") > F.col("y.comp")) & (F.col("y.comp") == F.col("y.top"))
+    near = once & _possible("x.", "y.", num, den) & ~_met_before("x.", "y.")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = materialize(_verified(across, counts, known, k, num, den), "more")
+    more = _verified(across, counts, known, k, num, den)
     nodes = components(first.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    discard(counted, keyed, copies, met, stars, links, settled, first, comp, across, more)
     return rows.join(nodes, rows.doc_id == nodes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -283,9 +308,9 @@ def _bounded(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, counts: DataFrame, known: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) that are similar. A centre with very many partners is dealt over 64 parts by partner."""
+    """Those of pairs(a, b) that are similar, written. A centre with very many partners is dealt over 64 parts by partner."""
     pairs = materialize(_bounded(pairs, counts, num, den).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = materialize(known.where(id_filter(ids, "doc_id")("doc_id")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     centres = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "_text")
     members = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "_text")
@@ -315,4 +340,6 @@ def _verified(pairs: DataFrame, counts: DataFrame, known: DataFrame, k: int, num
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    found = materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    discard(pairs, ids, texts)
+    return found
