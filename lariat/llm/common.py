@@ -74,7 +74,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], rank: str = "r
 
     The rows are written with the number of the partition that made them; a group is then (key, partition),
     which no hot key can make larger than one partition, and the groups' sizes give each its first number.
-    The counts are keyed rows, never collected.
+    The counts are keyed rows, never collected. Which rows get which numbers depends on the input's partitions.
     """
     kept = materialize(df.withColumn("_part", F.spark_partition_id()), "numbered")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

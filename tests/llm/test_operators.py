@@ -156,7 +156,7 @@ def test_neardup_against_all_pairs(spark):
     rows = [(i, [float(np.float32(c)) for c in v], int(rng.integers(3)) if i % 40 else None) for i, v in enumerate(x)]
     rows += [(260, None, 1), (261, [0.0] * 16, 1), (262, [float("nan")] * 16, 1), (263, [None] * 16, 1), (264, [1.0, 2.0], 1), (265, [2.0, 4.0], 1), (266, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1))
-    unit = [neardup._unit(r[1]) for r in rows]
+    unit = [None if u is None else np.frombuffer(u) for u in neardup.unit_vectors(pa.array([r[1] for r in rows], pa.list_(pa.float64())))]
     linked = lambda a, b: rows[a][2] is not None and rows[a][2] == rows[b][2] and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98
     comp = brute_components(len(rows), linked)
     for part in (2048, 20):
@@ -168,6 +168,45 @@ def test_neardup_against_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neardup_prunes_pairs_of_nodes(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 24)), 20, axis=0) + rng.normal(size=(600, 24)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(0, 24 * 8, i, 1, v.tobytes()) for i, v in enumerate(x)], "_label int, width int, rep long, size long, unit binary")
+    theta = float(np.sqrt(0.04))
+    members, levels = neardup._divided(classes, 40, theta)
+    held = {r["rep"]: r["node"] for r in members.collect()}
+    pairs = {(r["node"], r["node2"]) for r in neardup._near_nodes(levels, theta).collect()}
+    nodes = sorted(set(held.values()))
+    assert len(held) == 600 and len(nodes) > 5 and len(pairs) < len(nodes) * (len(nodes) + 1) / 4
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.98)):
+        assert tuple(sorted((held[i], held[j]))) in pairs
+
+
+@pytest.mark.parametrize("noise,seed", [(0.0, 0), (0.02, 1), (0.035, 2), (0.2, 3)])
+def test_dual_traversal_against_all_pairs(noise, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 24))
+    x = centres[np.minimum(rng.geometric(0.15, 900), 39)] + rng.normal(size=(900, 24)) * noise * rng.random((900, 1)) * 5
+    x = np.unique(np.concatenate([x, rng.normal(size=(300, 24))]), axis=0)
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    weight = rng.integers(1, 5, len(x))
+    theta = np.sqrt(0.04)
+    hit = x @ x.T >= 0.98
+    np.fill_diagonal(hit, False)
+    whole, half = neardup.CoverTree(x, theta), len(x) // 2
+    n, m, i, j = neardup.dual_links(whole, whole, 0.98, weight, weight)
+    assert (n + m == hit @ weight).all() and hit[i, j].all()
+    parts = [(neardup.CoverTree.from_bytes(y, neardup.CoverTree(y, theta).to_bytes()), w) for y, w in ((x[:half], weight[:half]), (x[half:], weight[half:]))]
+    n, m, i, j = neardup.dual_links(parts[0][0], parts[1][0], 0.98, parts[0][1], parts[1][1])
+    assert (n == hit[:half, half:] @ parts[0 + 1][1]).all() and (m == hit[half:, :half] @ parts[0][1]).all() and hit[i, half + j].all()
+    for tree in (whole, parts[0][0]):
+        for node in range(len(tree.centre)):
+            rows = tree.order[tree.first[node] : tree.last[node]]
+            assert tree.centre[node] in rows and np.linalg.norm(tree.x[rows] - tree.x[tree.centre[node]], axis=1).max() <= tree.cover[node] + 1e-7
+            assert (tree.children[node] == 0) == (tree.cover[node] <= theta)
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
