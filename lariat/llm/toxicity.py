@@ -66,7 +66,7 @@ def _bags(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     n_words = int(number[-1])
     char = np.where(inside, code, 1).astype(U64)
     outside = np.concatenate([[0], np.cumsum(~inside)])
-    buckets, words = [], []
+    buckets, words = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for n in (3, 4, 5):
         if len(char) < n:
             continue
@@ -220,24 +220,26 @@ def train(texts: list[str], toxic: list[int], bits: int = 15, dim: int = 4, wind
     return Model(weights, *_calibrated(margins(kept_out, model), all_toxic[aside], prior), window, least)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, per_class: int, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+def training_rows(documents: DataFrame, labels: DataFrame, per_class: int, learn: Column, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """Texts and labels of at most per_class labelled rows of each class, the first by a hash of the id.
 
-    The ids are at most 2 * per_class, so they may be broadcast against the documents. Null labels, null ids and
-    repeated label rows are passed over.
+    The ids are at most 2 * per_class, so they may be broadcast against the documents. Null labels, null ids, repeated
+    label rows and texts of more than ``longest`` characters are passed over: at most 2 * per_class * longest of them
+    come to the driver.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(learn & F.col("_toxic").isin(0, 1)).dropDuplicates(["_id"])
     parts = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(parts[0].unionByName(parts[1])), "_id").orderBy("_id", "_text").limit(2 * per_class).collect()
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(F.broadcast(parts[0].unionByName(parts[1])), "_id").orderBy("_id", "_text").limit(2 * per_class).collect()
     return [r["_text"] or "" for r in rows], [r["_toxic"] for r in rows]
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, learn: Column | None = None, **options) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, learn: Column | None = None, longest: int = 100_000, **options) -> Model:
     """Train on a bounded sample of labelled rows: per_class of each class, chosen by hash of the id.
 
-    learn: a condition on ``_id`` for the rows that may be learned from.
+    learn: a condition on ``_id`` for the rows that may be learned from. Texts of more than ``longest`` characters aren't
+    learned from; they are scored whole like any other. Empty tables give a model that answers a small share.
     """
-    texts, toxic = training_rows(documents, labels, per_class, F.lit(True) if learn is None else learn)
+    texts, toxic = training_rows(documents, labels, per_class, F.lit(True) if learn is None else learn, longest)
     return train(texts, toxic, **options)
 
 
