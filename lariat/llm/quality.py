@@ -160,12 +160,22 @@ def verdict(rules: list[Rule], at: str = "") -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def known_labels(labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """(_id, _quality) of at most ``most`` labelled ids, the first by hash; null ids and labels are passed over."""
+    return labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where(F.col("_id").isNotNull() & F.col("_quality").isin(0, 1)).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(most)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that ``fit`` may learn from, so that only those need be counted for it."""
+    return docs.join(F.broadcast(known_labels(labels, most).select(F.col("_id").alias(id_col))), id_col, "left_semi")
+
+
 def fit(stats: DataFrame, labels: DataFrame, most: int = 20_000, **options) -> list[Rule]:
     """Learn from at most ``most`` labelled documents that pass the fixed rules, the first by hash of the id.
 
-    stats: the result of ``statistics``. Rows with null ids or labels are passed over.
+    stats: the result of ``statistics``, of all documents or of those ``labelled``. Without any there are no rules.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where(F.col("_quality").isin(0, 1)).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    known = known_labels(labels, most)
     sample = stats.where(~base_failed()).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).orderBy("doc_id").limit(most)
     rows = sample.select("_quality", *(c.alias(k) for k, c in ratios().items())).toPandas()
     return learn(rows[list(RATIOS)].to_numpy(float), rows["_quality"].to_numpy() == 0, **options)
