@@ -321,7 +321,43 @@ def test_licenses(docs, empty, spark):
     n = len(rows)
     assert (got[n - 4]["labels"], got[n - 3]["labels"], got[n - 2]["labels"], got[n - 1]["labels"]) == ("cc-by,cc-by-nc", "apache-2.0", "mit", "lgpl")
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
-    assert len(licenses.rules()) > 300
+    assert len({rule for _, _, rule, _ in licenses.NOTICES}) == len(licenses.NOTICES)
+
+
+BODIES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"),
+    ("Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl,gpl-2.0"),
+    ("released under affero gpl 3", "agpl"),
+    ("you can redistribute it under the same terms as Perl itself", "perl"),
+    ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("the permission to enter the garden, in ordinary software prose", ""),
+]
+
+
+def test_license_bodies(spark):
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BODIES)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(BODIES))] == [label for _, label in BODIES]
+
+
+def test_license_priority_and_containment(spark):
+    """Detections against the rules tried one by one, and then against each other."""
+    rng = random.Random(15)
+    parts = [t for t, _ in BODIES] + ["MIT License", "Apache License 2.0", "GNU GPL v3", "licensed under the MIT license", "CC BY-SA 4.0", "SPDX-License-Identifier: GPL-2.0-only", "plain words here", "GNU Lesser General Public License", "zlib license", "public domain"]
+    said = [". ".join(rng.sample(parts, rng.randint(1, 5))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(said):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        line = " " + " ".join(words) + " "
+        hits = [(line[: m.start()].count(" ") - 1, m[0].count(" ") + 1, place, label, weight) for place, (label, _, rule, weight) in enumerate(licenses.rules()) for m in re.finditer(rule, line)]
+        kept = [d for d in hits if not any(o[0] <= d[0] and o[0] + o[1] >= d[0] + d[1] and (o[1] > d[1] or o[1] == d[1] and o[2] < d[2]) for o in hits)]
+        assert sorted((d["at"], d["n"], d["label"]) for d in got[i]["detections"]) == sorted((a, n, label) for a, n, _, label, _ in kept)
+        assert set(got[i]["labels"].split(",")) - {""} == {label for *_, label, _ in kept} | set(got[i]["base_labels"].split(",")) - {""}
+        assert got[i]["score"] == max([w for *_, w in kept] + [0.6 if got[i]["n_base"] else 0.0])
 
 
 def sampled(rng, parsed):
