@@ -56,7 +56,7 @@ def test_annotation(spark, tmp_path):
 
 def test_sequence_files(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 x\nACGT\nacgn\n>chr2\nTT\n")
-    assert {tuple(r) for r in text.fasta(spark, str(tmp_path / "g.fa")).collect()} == {("chr1", "ACGTACGN"), ("chr2", "TT")}
+    assert {tuple(r) for r in text.sequences(text.fasta(spark, str(tmp_path / "g.fa"))).collect()} == {("chr1", "ACGTACGN"), ("chr2", "TT")}
     path = tmp_path / "r.fastq.gz"
     path.write_bytes(gzip.compress(b"@r1 a\nACNT\n+\nIIII\n@r2\nGG\n+\n!I\n"))
     assert {r["read_id"]: (r["seq"], list(r["quality"])) for r in text.fastq(spark, str(path)).collect()} == {"r1": ("ACAT", [40] * 4), "r2": ("GG", [0, 40])}
