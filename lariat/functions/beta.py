@@ -44,15 +44,15 @@ def quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def greater(a1: np.ndarray, b1: np.ndarray, a2: np.ndarray, b2: np.ndarray, points: int = 1024) -> np.ndarray:
-    """P(X > Y) for independent beta variables: the mean of Y's distribution function over X's quantile mid-points."""
-    grid = (np.arange(points) + 0.5) / points
-    a1, b1, a2, b2 = (np.atleast_1d(np.asarray(v, float)) for v in (a1, b1, a2, b2))
-    x = np.linspace(0, 1, 2 * points + 1)
+def greater(a1: np.ndarray, b1: np.ndarray, a2: np.ndarray, b2: np.ndarray, points: int = 1024, amount: float = 0.0) -> np.ndarray:
+    """P(X - Y > amount) for independent beta variables: Y's distribution function over the steps of X's, in blocks of rows."""
+    a1, b1, a2, b2 = (np.atleast_1d(np.asarray(v, float))[:, None] for v in (a1, b1, a2, b2))
+    x = np.linspace(0, 1, 2 * points + 1)[None]
     out = np.empty(len(a1))
-    for i in range(len(a1)):
-        at = np.interp(grid, cdf(x, a1[i], b1[i]), x)
-        out[i] = cdf(at, a2[i], b2[i]).mean()
+    for at in range(0, len(a1), 64):
+        part = slice(at, at + 64)
+        weight = np.diff(cdf(x, a1[part], b1[part]), axis=1)
+        out[part] = (weight * cdf((x[:, 1:] + x[:, :-1]) / 2 - amount, a2[part], b2[part])).sum(1)
     return out
 
 
@@ -70,12 +70,15 @@ def interval(level: float = 0.9):
     return ci
 
 
-def probability():
-    """Column function (a1, b1, a2, b2) -> the larger of P(X > Y) and P(Y > X)."""
+def probability(amount: float = 0.0):
+    """Column function (a1, b1, a2, b2) -> the larger of P(X - Y > amount) and P(Y - X > amount); null for a null parameter."""
 
     @F.arrow_udf("double")
     def larger(a1: pa.Array, b1: pa.Array, a2: pa.Array, b2: pa.Array) -> pa.Array:
-        p = greater(*(v.to_numpy(zero_copy_only=False) for v in (a1, b1, a2, b2)))
-        return pa.array(np.maximum(p, 1 - p))
+        v = [c.to_numpy(zero_copy_only=False).astype(float) for c in (a1, b1, a2, b2)]
+        ok = np.all([np.isfinite(c) & (c > 0) for c in v], 0)
+        v = [np.where(ok, c, 1.0) for c in v]
+        p = np.maximum(greater(*v, amount=amount), greater(v[2], v[3], v[0], v[1], amount=amount)) if amount else greater(*v)
+        return pa.array(p if amount else np.maximum(p, 1 - p), mask=~ok)
 
     return larger

@@ -17,6 +17,16 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
+def kmer_number(kmer: Column) -> Column:
+    """Number of a k-mer from 0; 0 too if it holds anything but A, C, G, T."""
+    return F.coalesce(kmer_index(kmer) - 1, F.lit(0).cast("long"))
+
+
+def reversed_record(seq: Column, quality: Column) -> tuple[Column, Column]:
+    """A read as the other strand has it: bases and their qualities."""
+    return reverse_complement(seq), F.reverse(quality)
+
+
 def two_bit(seq: Column) -> Column:
     """A base outside A, C, G, T counts as A, as two bits can hold no other."""
     return F.regexp_replace(seq, "[^ACGT]", "A")

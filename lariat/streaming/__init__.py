@@ -1 +1 @@
-
+"""Counts that go on while reads arrive."""

@@ -23,9 +23,9 @@ SMALL = A.Settings(mismatches=1, kmer=2, tries=4, tolerance=4, least_quality=4,
 
 
 @pytest.fixture(scope="module")
-def index(spark, built):  # noqa: F811
-    offsets = G.gene_offsets(built["seqs"]).cache()
-    return A.seed_index(offsets, SMALL).cache(), A.broadcast_graphs(built["nodes"], offsets, SMALL)
+def index(spark, kept, built):  # noqa: F811
+    offsets = kept(G.gene_offsets(built["seqs"]))
+    return kept(A.seed_index(offsets, SMALL)), A.broadcast_graphs(built["nodes"], offsets, SMALL)
 
 
 def frame(spark, reads):

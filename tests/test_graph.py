@@ -30,17 +30,17 @@ def gtf_lines(rows=ANNOTATION, extra=""):
 
 
 @pytest.fixture(scope="module")
-def built(spark, tmp_path_factory):
+def built(spark, kept, tmp_path_factory):
     path = tmp_path_factory.mktemp("graph")
     (path / "a.gtf").write_text("\n".join(gtf_lines()) + "\n")
     (path / "g.fa").write_text(">chr0 test\n" + "\n".join(GENOME[i : i + 60] for i in range(0, len(GENOME), 60)) + "\n>chr9\nACGT\n")
-    exons = T.one_chromosome(text.gtf(spark, str(path / "a.gtf")))
-    tx = T.transcripts(exons)
-    genes = T.genes(tx).cache()
-    nodes = G.nodes(genes, T.distinct_exons(exons)).cache()
-    pieces = text.fasta(spark, str(path / "g.fa"), genes.select("chrom"))
-    seqs = G.gene_sequences(G.node_sequences(nodes, genes, pieces, 16)).cache()
-    return {"exons": exons, "tx": tx, "genes": genes, "nodes": nodes, "seqs": seqs, "pieces": pieces, "paths": G.annotated_paths(nodes, genes, tx).cache()}
+    exons = kept(T.one_chromosome(text.gtf(spark, str(path / "a.gtf"))))
+    tx = kept(T.transcripts(exons))
+    genes = kept(T.genes(tx))
+    nodes = kept(G.nodes(genes, T.distinct_exons(exons)))
+    pieces = kept(text.fasta(spark, str(path / "g.fa"), genes.select("chrom")))
+    seqs = kept(G.gene_sequences(G.node_sequences(nodes, genes, pieces, 16)))
+    return {"exons": exons, "tx": tx, "genes": genes, "nodes": nodes, "seqs": seqs, "pieces": pieces, "paths": kept(G.annotated_paths(nodes, genes, tx))}
 
 
 def test_nodes(built):
