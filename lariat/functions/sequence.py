@@ -38,8 +38,9 @@ def phred(quality: Column) -> Column:
 
 
 def gc_bin(gc: Column) -> Column:
-    """Bin of the share of G and C in fifty bases; the last bin takes 19/20 and all above."""
-    return F.least(F.floor(gc * 20 / 50 + F.lit(1e-9)), F.lit(19)).cast("int") + 1
+    """Bin of the number of G and C in fifty bases: their share over 0.05 in floating point, cut, so 15 of 50 are in the sixth."""
+    share = gc / F.lit(50.0)
+    return F.round((share - share % F.lit(0.05)) / F.lit(0.05)).cast("int") + 1
 
 
 def complexity(paths: Column) -> Column:

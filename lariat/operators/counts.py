@@ -6,7 +6,9 @@ shuffle, and the keys are (gene, node), so no gene gathers in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lariat.functions.sequence import complexity, shannon
@@ -72,14 +74,27 @@ def annotated_paths(paths: DataFrame, most: int = 8) -> DataFrame:
     return ranked.withColumn("tx", F.row_number().over(order)).where(F.col("tx") <= most).select("gene", "tx", F.col("path").alias("nodes"))
 
 
+def _steps(path: Column) -> Column:
+    """Pairs of neighbours, as structs (l, r)."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.struct(F.element_at(path, i).alias("l"), F.element_at(path, i + 1).alias("r")))
+    return F.when(F.size(path) > 1, pairs)
+
+
 def compatible(paths: DataFrame, annotated: DataFrame) -> DataFrame:
     """(gene, class, n): for each read path the transcripts that contain it side by side, by class.
 
-    Paths are counted first, so the join sees each distinct path once and a gene's few transcripts.
+    Paths are counted first. A path's nodes or steps meet those of transcripts by equality, and a transcript contains it if
+    it has them all, so no gene's paths and transcripts are a product.
     """
     counted = paths.groupBy("gene", "path").agg(F.count(F.lit(1)).alias("n"))
-    inside = F.contains(F.concat(F.lit("-"), F.array_join("nodes", "-"), F.lit("-")), F.concat(F.lit("-"), F.array_join("path", "-"), F.lit("-")))
-    hit = counted.join(annotated, "gene").where(inside).groupBy("gene", "path", "n").agg(F.array_join(F.array_sort(F.collect_list("tx")), ",").alias("class"))
+    alone = lambda c: F.struct(c.alias("l"), F.lit(None).cast("int").alias("r"))
+    cast = lambda c: F.transform(c, lambda x: x.cast("int"))
+    asked = F.when(F.size("path") > 1, _steps(cast("path"))).otherwise(F.transform(cast("path"), alone))
+    asked = counted.select("gene", "path", "n", F.size(asked).alias("wanted"), F.explode(asked).alias("s"))
+    given = annotated.select("gene", "tx", F.explode(F.concat(F.transform(cast("nodes"), alone), F.coalesce(_steps(cast("nodes")), F.array().cast("array<struct<l:int,r:int>>")))).alias("s"))
+    same = (F.col("x.gene") == F.col("y.gene")) & (F.col("x.s.l") == F.col("y.s.l")) & F.col("x.s.r").eqNullSafe(F.col("y.s.r"))
+    has = asked.alias("x").join(given.alias("y"), same).groupBy("x.gene", "path", "n", "wanted", "tx").agg(F.count(F.lit(1)).alias("k")).where("k = wanted")
+    hit = has.groupBy("gene", "path", "n").agg(F.array_join(F.array_sort(F.collect_list("tx")), ",").alias("class"))
     return hit.groupBy("gene", "class").agg(F.sum("n").alias("n"))
 
 
@@ -93,24 +108,34 @@ def tpm(counts: DataFrame, read_length: int = 1) -> DataFrame:
 def em_shares(classes: DataFrame, rounds: int = 20) -> DataFrame:
     """(gene, tx, count) after ``rounds`` steps of expectation and maximization over classes(gene, class, n).
 
-    A class is a comma-joined list of transcripts. Genes are independent; each step is one aggregate over class
-    members and one join back on (gene, tx).
+    A class is a comma-joined list of transcripts. Genes are independent and their classes few, so each is solved whole in
+    one Arrow pass. Abundances by lengths, with a rule to stop, are in ``quant.abundance``.
     """
-    members = classes.withColumn("tx", F.explode(F.split("class", ","))).withColumn("tx", F.col("tx").cast("int"))
-    now = members.select("gene", "tx").distinct().withColumn("count", F.lit(1.0))
-    by_class = Window.partitionBy("gene", "class")
-    for _ in range(rounds):
-        held = members.join(now, ["gene", "tx"]).withColumn("share", F.col("n") * F.col("count") / F.sum("count").over(by_class))
-        now = held.groupBy("gene", "tx").agg(F.sum("share").alias("count"))
-    return now
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [[int(t) for t in c.split(",")] for c in pdf["class"]]
+        tx = np.array(sorted({t for own in lists for t in own}))
+        member = np.searchsorted(tx, [t for own in lists for t in own])
+        of = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+        weight, now = pdf["n"].to_numpy(float), np.ones(len(tx))
+        for _ in range(rounds):
+            total = np.bincount(of, now[member], len(lists))
+            now = np.bincount(member, weight[of] * now[member] / total[of], len(tx))
+        return pd.DataFrame({"gene": pdf["gene"].iloc[0], "tx": tx, "count": now})
+
+    return classes.groupBy("gene").applyInPandas(solve, f"gene {classes.schema['gene'].dataType.simpleString()}, tx int, count double")
 
 
 def junction_classes(edges: DataFrame, annotated: DataFrame) -> DataFrame:
-    """Each step as CON_ANNO (in all transcripts around it), ALT_ANNO (in some) or ALT_UNIQ (in none)."""
-    has = F.contains(F.concat(F.lit("-"), F.array_join("nodes", "-"), F.lit("-")), F.concat_ws("-", F.lit(""), "l", "r", F.lit("")))
-    around = (F.element_at("nodes", 1) <= F.col("l")) & (F.element_at("nodes", -1) >= F.col("r"))
-    seen = edges.join(annotated, "gene", "left").groupBy("gene", "l", "r", "n").agg(F.max(F.coalesce(has, F.lit(False))).alias("some"), F.min(F.when(around, has)).alias("all"))
-    return seen.select("gene", "l", "r", "n", F.when(F.col("some") & F.coalesce("all", F.lit(False)), "CON_ANNO").when(F.col("some"), "ALT_ANNO").otherwise("ALT_UNIQ").alias("class"))
+    """Each step as CON_ANNO (in all transcripts around it), ALT_ANNO (in some) or ALT_UNIQ (in none).
+
+    Transcripts that have a step are counted once for all by equality; those around it come from a gene's list of spans.
+    """
+    has = annotated.select("gene", F.explode(_steps(F.col("nodes"))).alias("s")).groupBy("gene", "s.l", "s.r").agg(F.count(F.lit(1)).alias("have"))
+    spans = annotated.groupBy("gene").agg(F.collect_list(F.struct(F.element_at("nodes", 1).alias("a"), F.element_at("nodes", -1).alias("b"))).alias("spans"))
+    around = F.size(F.filter("spans", lambda s: (s["a"] <= F.col("l")) & (s["b"] >= F.col("r"))))
+    seen = edges.join(has, ["gene", "l", "r"], "left").join(spans, "gene", "left")
+    return seen.select("gene", "l", "r", "n", F.when(F.col("have").isNull(), "ALT_UNIQ").when(F.col("have") == around, "CON_ANNO").otherwise("ALT_ANNO").alias("class"))
 
 
 def truth_psi(tx_tpm: DataFrame, annotated: DataFrame) -> DataFrame:

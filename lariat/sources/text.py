@@ -46,8 +46,13 @@ def gtf(spark: SparkSession, path: str, drop_low_support: bool = False) -> DataF
     level other than 1, 2 or NA go; without it, a warning says that there are some. Reading fails where a transcript's
     lines are not side by side.
     """
+    return gtf_rows(_lines(spark, path), drop_low_support)
+
+
+def gtf_rows(lines: DataFrame, drop_low_support: bool = False) -> DataFrame:
+    """The same from lines (value, file, block, line), which need not come from a file."""
     f = F.split("value", "\t")
-    rows = _lines(spark, path).where(~F.col("value").startswith("#")).withColumn("f", f).where((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "exon"))
+    rows = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "exon"))
     attrs = F.get("f", F.lit(8))
     out = rows.select(
         F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(3)).cast("long").alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"), F.get("f", F.lit(6)).alias("strand"),
