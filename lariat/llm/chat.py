@@ -64,13 +64,19 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     parts = blocks.select("conv_id", parts.alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
-    lengths = F.transform("parts", lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("long"))
-    sized = parts.select("conv_id", "parts", formatted.alias("formatted"), lengths.alias("lengths"))
-    spans = F.transform(
+    size = lambda c: F.length(c).cast("long")
+    # One pass along the parts carries the place of the next one.
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    walked = F.aggregate(
         "parts",
-        lambda p, i: F.struct(p["loss"].alias("loss"), (F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda a, x: a + x) + F.length(p["before"])).alias("start"), F.length(p["text"]).cast("long").alias("length")),
+        start,
+        lambda a, p: F.struct(
+            (a["at"] + size(p["before"]) + size(p["text"]) + size(p["after"])).alias("at"),
+            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + size(p["before"])).alias("start"), size(p["text"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
+        ),
+        lambda a: a["spans"],
     )
-    return sized.select("conv_id", "formatted", F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
+    return parts.select("conv_id", formatted.alias("formatted"), walked.alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -25,6 +25,53 @@ _SPACE = 0x2581
 _GROUP = 600_000
 
 
+def _fields(raw: bytes) -> dict[int, list[int | bytes]]:
+    """The fields of a protocol buffer message by number: numbers, or bytes of strings and messages."""
+    out: dict[int, list[int | bytes]] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            value: int | bytes = number()
+        else:
+            n = number() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+            value, at = raw[at : at + n], at + n
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def check_settings(model: bytes) -> None:
+    """Raises unless a serialized model is what the merging here assumes.
+
+    That is BPE with byte fallback, texts as they are (no character map, spaces kept and escaped), and a space in front.
+    """
+    fields = _fields(model)
+    trainer, normalizer = (_fields(fields[i][-1]) if i in fields else {} for i in (2, 3))
+    last = lambda group, field, default: group.get(field, [default])[-1]
+    wrong = [
+        name
+        for name, found, wanted in (
+            ("model type", last(trainer, 3, 1), 2), ("byte fallback", last(trainer, 35, 0), 1), ("character map", last(normalizer, 2, b""), b""),
+            ("space in front", last(normalizer, 3, 1), 1), ("extra spaces removed", last(normalizer, 4, 1), 0), ("spaces escaped", last(normalizer, 5, 1), 1), ("space at the end", last(trainer, 24, 0), 0),
+        )
+        if found != wanted
+    ]
+    if wrong:
+        raise ValueError(f"the model's settings aren't supported: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Pieces, ranks and merges of a sentencepiece BPE model with byte fallback."""
 
@@ -32,6 +79,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_settings(sp.serialized_model_proto())
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         by_score = sorted(plain, key=lambda i: (-sp.get_score(i), i))

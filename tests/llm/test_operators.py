@@ -119,6 +119,17 @@ def test_piece_counts_match_library(docs, empty):
     assert piece_counts.token_counts(empty, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_piece_models_of_other_settings_are_refused():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).serialized_model_proto()
+    piece_counts.check_settings(model)
+    # A later message is the one that holds: a normalizer that removes extra spaces; a trainer without byte fallback.
+    for more, name in ((b"\x1a\x02\x20\x01", "extra spaces"), (b"\x12\x05\x18\x02\x98\x02\x00", "byte fallback")):
+        with pytest.raises(ValueError, match=name):
+            piece_counts.check_settings(model + more)
+
+
 def test_chat_round_trip(spark):
     hard = ["", None, "\\### Assistant: </turn> ok", "\\b\\h\\t", "####", "</turn></part>", "a</tur", "n>\n### user: x", "\\\\"]
     rng = random.Random(4)
