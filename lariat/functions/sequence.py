@@ -27,9 +27,9 @@ def reversed_record(seq: Column, quality: Column) -> tuple[Column, Column]:
     return reverse_complement(seq), F.reverse(quality)
 
 
-def two_bit(seq: Column) -> Column:
+def two_bit(seq: Column, other: str = "A") -> Column:
     """A base outside A, C, G, T counts as A, as two bits can hold no other."""
-    return F.regexp_replace(seq, "[^ACGT]", "A")
+    return F.regexp_replace(F.upper(seq), "[^ACGT]", other)
 
 
 def phred(quality: Column) -> Column:

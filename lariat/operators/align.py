@@ -13,9 +13,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lariat.functions.sequence import reversed_record
+
 _PAIR = str.maketrans("ACGT", "TGCA")
 #: A boundary as the mirrored gene has it.
 _MIRROR = {"SL": "RS", "RS": "SL", "SR": "LS", "LS": "SR", "LL": "RR", "RR": "LL", "LR": "LR"}
@@ -337,9 +339,9 @@ def align_pairs(pairs: DataFrame, index: DataFrame, graphs, settings: Settings =
     seed tells. Hits of both are paired in the order of their places.
     """
     quality, mate = F.col("quality"), F.col("mate_quality")
-    turned_mate = F.reverse(F.translate("mate_seq", "ACGT", "TGCA"))
+    turned_mate, turned_quality = reversed_record(F.col("mate_seq"), mate)
     # With mates reversed, the second is turned where the first is not; a turned read is searched from its right end.
-    variants = [("first", F.col("seq"), quality, True, not settings.stranded), ("straight", F.col("mate_seq"), mate, True, False), ("turned", turned_mate, F.reverse(mate), False, False)]
+    variants = [("first", F.col("seq"), quality, True, not settings.stranded), ("straight", F.col("mate_seq"), mate, True, False), ("turned", turned_mate, turned_quality, False, False)]
     hits = located(_tries(pairs, settings, variants), index)
     first = hits.where("variant = 'first'").select("read_id", F.col("place").alias("place1"), F.col("turned").alias("turned1"), F.col("hits").alias("hits1"))
     wanted = F.when(F.lit(settings.mates_reversed) != F.col("turned1"), "turned").otherwise("straight")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.functions.sequence import complexity, shannon
+from lariat.functions.sequence import complexity, is_connecting, is_spanning
 
 
 def paths(hits: DataFrame) -> DataFrame:
@@ -54,8 +54,8 @@ def node_psi(edges: DataFrame) -> DataFrame:
     Without steps on one side the support rules decide: at least two connecting reads, or one passing read.
     """
     touched = edges.select("gene", "l", "r", "n", F.explode(F.sequence("l", "r")).alias("node"))
-    both = (F.col("node") == F.col("l")) | (F.col("node") == F.col("r"))
-    c = touched.groupBy("gene", "node").agg(F.sum(F.when(both, F.col("n")).otherwise(0)).alias("inclusion"), F.sum(F.when(~both, F.col("n")).otherwise(0)).alias("exclusion"), F.sum(F.when(both, 1).otherwise(0)).alias("inc_steps"), F.sum(F.when(~both, 1).otherwise(0)).alias("exc_steps"))
+    ends, over = (of(F.col("l"), F.col("r"), F.col("node")) for of in (is_connecting, is_spanning))
+    c = touched.groupBy("gene", "node").agg(F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("inclusion"), F.sum(F.when(over, F.col("n")).otherwise(0)).alias("exclusion"), F.count_if(ends).alias("inc_steps"), F.count_if(over).alias("exc_steps"))
     inc, exc = F.col("inclusion") / F.col("inc_steps"), F.col("exclusion") / F.col("exc_steps")
     psi = F.when((F.col("inclusion") > 0) & (F.col("exclusion") > 0), F.round(inc / (inc + exc), 6)).when((F.col("exclusion") == 0) & (F.col("inclusion") >= 2), 1.0).when((F.col("inclusion") == 0) & (F.col("exclusion") >= 1), 0.0)
     return c.select("gene", "node", "inclusion", "exclusion", psi.alias("psi"), (F.col("inclusion") + F.col("exclusion")).alias("total_reads"))

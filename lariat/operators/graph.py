@@ -147,6 +147,12 @@ def gene_offsets(gene_seqs: DataFrame) -> DataFrame:
     return gene_seqs.join(gene_seqs.select("gene", F.length("seq").cast("long").alias("n")).select("gene", at.alias("at")), "gene")
 
 
+def isoform_offsets(paths: DataFrame) -> DataFrame:
+    """(gene, at): how many transcripts the genes before have, by name; a row for each gene."""
+    counts = paths.groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("gene", F.coalesce(F.sum("n").over(Window.orderBy("gene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+
+
 def potential_exons(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(gene, first, last, low, high, annotated): runs of nodes from an exon start to each stop up to the next hard edge."""
     ahead = Window.partitionBy("gene").orderBy("node").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -155,7 +161,8 @@ def potential_exons(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     begin = nodes.withColumn("reach", reach).where(is_exon_start(F.col("edge_in"))).select("gene", F.col("node").alias("first"), F.col("coord").alias("c1"), (F.col("coord") + F.col("length") - 1).alias("e1"), F.explode(F.sequence("node", "reach")).alias("last"))
     stop = nodes.where(is_exon_stop(F.col("edge_out"))).select("gene", F.col("node").alias("last"), F.col("coord").alias("c2"), (F.col("coord") + F.col("length") - 1).alias("e2"))
     found = begin.join(stop, ["gene", "last"]).join(paths.groupBy("gene").agg(F.collect_list("nodes").alias("paths")), "gene", "left")
-    whole = F.coalesce(F.exists("paths", lambda p: F.size(F.array_except(F.sequence("first", "last"), p)) == 0), F.lit(False))
+    # Paths are sorted, so a run of nodes is in one if its ends are and lie as far apart there.
+    whole = F.coalesce(F.exists("paths", lambda p: (F.array_position(p, F.col("first")) > 0) & (F.array_position(p, F.col("last")) - F.array_position(p, F.col("first")) == F.col("last") - F.col("first"))), F.lit(False))
     return found.select("gene", "first", "last", F.least("c1", "c2").alias("low"), F.greatest("e1", "e2").alias("high"), whole.alias("annotated"))
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lariat.functions.sequence import two_bit
+
 
 def is_gzipped(path: str) -> bool:
     return has_extension(path, ".gz")
@@ -168,7 +170,7 @@ def fastq(spark: SparkSession, path: str, offset: int = 33, other: str = "A", gz
     whole = F.col("head").isNotNull() & F.col("bases").isNotNull() & F.col("marks").isNotNull()
     across = found.where(~whole).groupBy("file", "record").agg(*[F.max(c).alias(c) for c in ("head", "bases", "marks")]).where(whole)
     records = found.where(whole).select("head", "bases", "marks").unionByName(across.select("head", "bases", "marks"))
-    return records.select(F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), F.regexp_replace(F.upper("bases"), "[^ACGT]", other).alias("seq"), F.transform(F.split("marks", ""), lambda c: F.ascii(c) - offset).alias("quality"))
+    return records.select(F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), two_bit(F.col("bases"), other).alias("seq"), F.transform(F.split("marks", ""), lambda c: F.ascii(c) - offset).alias("quality"))
 
 
 PSI_SCHEMA = "Gene string, Node string, Coord string, Strand string, Type string, Psi double, CI_Width double, CI string, Total_Reads double, Complexity string, Entropy double, Inc_Paths string, Exc_Paths string, Edges string"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lariat.functions import beta
 from lariat.functions import sequence as S
+from lariat.operators import graph as G
 from lariat.operators import transcripts as T
 from lariat.plans import catalog
 from lariat.sources import text
@@ -67,6 +68,21 @@ def test_expressions(spark):
     assert (r["k"], r["n"], r["rc"], r["c"], r["h"], r["s"]) == (15, None, "CGTT", 4, 1.0, 0.123)
 
 
+def test_more_expressions(spark):
+    seq, quality = S.reversed_record(F.lit("AACG"), F.array(*map(F.lit, (1, 2, 3, 4))))
+    r = spark.range(1).select(S.kmer_number(F.lit("ATG")).alias("k"), S.kmer_number(F.lit("ANG")).alias("n"), S.two_bit(F.lit("acgn")).alias("t"), seq.alias("s"), quality.alias("q"), S.gc_bin(F.lit(15)).alias("g"), S.gc_bin(F.lit(50)).alias("h")).first()
+    assert (r["k"], r["n"], r["t"], r["s"], r["q"], r["g"], r["h"]) == (14, 0, "ACGA", "CGTT", [4, 3, 2, 1], 6, 20)
+    bins = [x[0] for x in spark.range(51).orderBy("id").select(S.gc_bin(F.col("id"))).collect()]
+    assert bins == [int((i / 50) // 0.05) + 1 for i in range(51)]
+    edges = [(G.edge_type(F.lit(a), F.lit(b), F.lit(n))) for a, b, n in ((1, 2, True), (3, 2, False), (3, 4, False), (1, 2, False))]
+    assert list(spark.range(1).select(*edges, G.edge_code(F.lit("LR")), G.is_donor_edge(F.lit("LS")), G.is_acceptor_edge(F.lit("LS"))).first()) == ["RS", "LR", "LS", "SR", 4, True, False]
+
+
+def test_beta_of_null(spark):
+    r = spark.createDataFrame([(2.0, 3.0, 4.0, 1.0), (None, 1.0, 1.0, 1.0)], "a double, b double, c double, d double").select(beta.probability()("a", "b", "c", "d").alias("p"), beta.probability(0.2)("a", "b", "c", "d").alias("q")).collect()
+    assert r[1]["p"] is None and 0.9 < r[0]["p"] < 1 and 0 < r[0]["q"] < r[0]["p"]
+
+
 def test_beta():
     assert np.allclose(beta.cdf([0.5, 0.2, 0.9], [2, 1, 5], [2, 3, 1]), [0.5, 1 - 0.8**3, 0.9**5])
     assert np.allclose(beta.cdf(beta.quantile(0.3, [3, 200], [4, 100]), [3, 200], [4, 100]), 0.3)

@@ -69,6 +69,7 @@ def test_kmer_edges(built):
 def test_gene_offsets_and_exons(built):
     at = {r["gene"]: r["at"] for r in G.gene_offsets(built["seqs"]).collect()}
     assert at == {"kissing": 0, "one": 20, "single": 85, "single_rev": 95}
+    assert {r["gene"]: r["at"] for r in G.isoform_offsets(built["paths"]).collect()} == {"kissing": 0, "one": 2, "single": 5, "single_rev": 6}
     found = {(r["first"], r["last"]): r["annotated"] for r in G.potential_exons(built["nodes"], built["paths"]).where("gene = 'one'").collect()}
     assert found[1, 1] and found[1, 3] and found[4, 5] and not found[4, 6] and (1, 4) not in found
 
