@@ -15,7 +15,6 @@ import hashlib
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,28 +105,40 @@ def _dominated(filling: tuple[int, ...], waste: int, left: list[int], some: int)
 def _completions(room: int, left: list[int], most: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, fullest first, out of the first ``most`` to which no length left can be added.
 
-    Depth first, the longest first and as many of it as fit, so that the first one looked at is greedy.
+    Bits tell which sums the shorter lengths can make, so that only fillings of a wanted sum are walked through: the
+    fullest ones first, and of those the ones with most of the longest lengths. At most 20 * most steps are walked.
     """
     lengths = [x for x in range(1, room + 1) if left[x]]
-    total = list(accumulate((x * left[x] for x in lengths), initial=0))
+    sums, mask = [1], (2 << room) - 1
+    for x in lengths:
+        made, n, k = sums[-1], min(left[x], room // x), 1
+        while n:
+            made |= made << min(k, n) * x
+            n, k = n - min(k, n), 2 * k
+        sums.append(made & mask)
     found: list[tuple[int, tuple[int, ...]]] = []
-    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(len(lengths), room, room + 1, ())]
-    while stack and len(found) < most:
-        end, free, least, taken = stack.pop()
-        at = bisect_right(lengths, free, 0, end) - 1
-        if at < 0:
-            found.append((free, taken))
+    walked = 0
+    for waste in range(room + 1):
+        if not sums[-1] >> room - waste & 1:
             continue
-        x = lengths[at]
-        top = min(free // x, left[x])
-        for k in range(top + 1):
-            # A length of which some is left over must not fit in the end.
-            over = x if k < left[x] else least
-            if free - k * x - total[at] < over:
-                stack.append((at, free - k * x, over, (*taken, *(x,) * k)))
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(len(lengths), room - waste, ())]
+        while stack and len(found) < most and walked < 20 * most:
+            end, rest, taken = stack.pop()
+            walked += 1
+            if rest == 0:
+                if not any(left[y] > taken.count(y) for y in lengths[: bisect_right(lengths, waste)]):
+                    found.append((waste, taken))
+                continue
+            at = bisect_right(lengths, rest, 0, end) - 1
+            x = lengths[at]
+            for k in range(min(rest // x, left[x]) + 1):
+                if sums[at] >> rest - k * x & 1:
+                    stack.append((at, rest - k * x, (*taken, *(x,) * k)))
+        if len(found) >= most or walked >= 20 * most:
+            break
     found.sort(key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
     some = sum(1 << x for x in lengths)
-    return [f for free, f in found if not _dominated(f, free, left, some)] or [found[0][1]]
+    return [f for free, f in found if not _dominated(f, free, left, some)] or ([found[0][1]] if found else [()])
 
 
 def _branches(left: list[int], capacity: int, most: int) -> Iterator[Run]:
