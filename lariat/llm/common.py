@@ -17,6 +17,8 @@ from pyspark.sql.types import IntegralType, StructType
 U64 = np.uint64
 #: Rows of an Arrow batch; with texts of 100 kB a batch stays near 25 MB.
 BATCH_ROWS = 256
+#: Rows of numbers in an Arrow batch that goes back to Spark.
+SLICE = 1 << 15
 
 
 def configure(spark: SparkSession) -> None:
@@ -114,13 +116,19 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of SLICE rows, as the JVM holds each whole outside its heap; none of an empty one."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def map_batches(df: DataFrame, fn, schema: StructType | str) -> DataFrame:
     """mapInArrow with fn(batch) -> batch or None."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None and out.num_rows:
-                yield out
+            if b.num_rows and (out := fn(b)) is not None:
+                yield from sliced(out)
 
     return df.mapInArrow(run, schema)
 
@@ -138,8 +146,8 @@ _BASE, _STEP = 0x5851F42D4C957F2D, 0xDA942042E4DD58B5
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWERED = _TABLE.copy()
+_LOWERED[65:91] = _TABLE[97:123]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -150,6 +158,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Texts are hashed in runs of whole words of at most so many bytes, whose powers are held; a longer word is a run by itself.
+SPAN = 1 << 16
+_UP, _DOWN = _powers(_BASE, SPAN), _powers(_INVERSE, SPAN)
 
 
 def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,13 +173,20 @@ def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     inside[1:-1] = ~_BLANK[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, U64), start, end
-    if lower:
-        raw = _LOWER[raw]
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_TABLE[raw] * _powers(_BASE, len(raw)), out=total[1:])
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(raw))[start] + (end - start).astype(U64)), start, end
+    values = _LOWERED if lower else _TABLE
+    out = np.zeros(len(start), U64)
+    first = 0
+    while first < len(start):
+        at = start[first]
+        last = max(first + 1, int(np.searchsorted(end, at + SPAN, "right")))
+        n = int(end[last - 1] - at)
+        up, down = (_UP[:n], _DOWN) if n <= SPAN else (_powers(_BASE, n), _DOWN)
+        total = np.zeros(n + 1, U64)
+        np.cumsum(values[raw[at : at + n]] * up, out=total[1:])
+        s, e = start[first:last] - at, end[first:last] - at
+        out[first:last] = (total[e] - total[s]) * down[s]
+        first = last
+    return mix(out + (end - start).astype(U64)), start, end
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

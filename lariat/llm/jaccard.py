@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import U64, bytes_of, configure, discard, id_filter, map_batches, materialize, mix, shingle_hashes, whole_ids, word_hashes
+from lariat.llm.common import SLICE, U64, bytes_of, configure, discard, id_filter, map_batches, materialize, mix, shingle_hashes, whole_ids, word_hashes
 from lariat.llm.components import components
 
 #: Most frequent tokens that are broadcast: 8 bytes and a count each, 1 MB.
@@ -46,6 +46,8 @@ SKETCH = 22
 CENTRES = 32
 #: About so many documents of a signature meet in one part at first.
 PART = 512
+#: Tokens that a task gathers until it counts them: 40 MB, sorted in place.
+GATHERED = 5_000_000
 #: Tasks of fewer tokens count those too that one of their documents holds; others lose at most one of a token.
 WHOLE = 1 << 19
 #: The bit that makes a signature of a single token a negative long.
@@ -59,6 +61,18 @@ def token_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text, lower=True)[0], k))
 
 
+def counted_tokens(tokens: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(token, count) of the distinct ones of tokens, which are sorted in place; those that occur once only if single."""
+    tokens.sort()
+    again = np.zeros(len(tokens) + 1, bool)  # whether a token equals the one before it; the last one says that they end
+    np.equal(tokens[1:], tokens[:-1], out=again[1:-1])
+    begins, ends = ~again[:-1], ~again[1:]
+    if not single:
+        begins, ends = begins & again[1:], ends & again[:-1]
+    first = np.flatnonzero(begins)
+    return tokens[first], np.flatnonzero(ends) + 1 - first
+
+
 def _least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
@@ -140,20 +154,15 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's size and digest; then this task's tokens, of many only those that several of its documents hold."""
-        held: list[np.ndarray] = []
-        size = 0
+        held, size = np.empty(GATHERED, U64), 0
         names = ["doc_id", "n_shingles", "digest", "counts", "token", "n"]
 
-        def flush(rest: bool) -> pa.RecordBatch | None:
-            if not held:
-                return None
-            every = np.concatenate(held)
-            held.clear()
-            token, count = np.unique(every, return_counts=True)
-            if len(every) >= WHOLE:
-                token, count = token[count > 1], count[count > 1]
-            nothing = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([nothing, nothing, pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count)], names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, count = counted_tokens(held[:size], size < WHOLE)
+            for at in range(0, len(token), SLICE):
+                t, n = token[at : at + SLICE], count[at : at + SLICE]
+                nothing, blank = pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.binary())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, blank, blank, pa.array(t.view(np.int64)), pa.array(n)], names)
 
         for b in batches:
             sizes, digests, counts = [], [], []
@@ -162,15 +171,16 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 counts.append(class_counts(s))
-                held.append(s)
+                if size + len(s) > len(held):
+                    yield from flush()
+                    size = 0
+                    if len(s) > len(held):
+                        held = np.empty(len(s), U64)
+                held[size : size + len(s)] = s
                 size += len(s)
             nothing = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), nothing, nothing], names)
-            if size > 5_000_000 and (out := flush(False)) is not None:
-                size = 0
-                yield out
-        if (out := flush(True)) is not None:
-            yield out
+        yield from flush()
 
     seen = materialize(narrow.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, counts binary, token long, n long"), "tokens")
     rows = seen.where("token is null").select("doc_id", "n_shingles", "digest", "counts")

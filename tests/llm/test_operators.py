@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lariat.llm import byte_bpe, chat, jaccard, licenses, neardup, packing, piece_counts, quality, sharding, toxicity
-from lariat.llm.common import numbered
+from lariat.llm.common import SPAN, numbered, word_hashes
 
 ODD = ["", " ", None, "a", "a b", "\n\n", "x" * 5000, "word " * 3000, "é ü 漢字 😀", "the same text here again", "the same text here again", "a\x00b\x1c c　d", "<|endoftext|> <s>", "tabs\t and  spaces \n here"]
 
@@ -41,6 +41,28 @@ def test_numbered_is_gapless(spark):
     assert all(r["r"] == list(range(len(r["r"]))) for r in got)
 
 
+def test_word_hashes_do_not_depend_on_runs():
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abCé") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["x" * SPAN, "x" * (SPAN + 1), "y" * 3 * SPAN]
+    text = "".join(rng.choice(some[:300] if rng.random() < 0.999 else some) + rng.choice([" ", "\n\t "]) for _ in range(60_000)).encode()
+    words = [m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    hashes, start, end = word_hashes(text)
+    assert [text[a:b] for a, b in zip(start, end)] == words
+    assert len(set(zip(hashes.tolist(), words))) == len(set(words)) == len(set(hashes.tolist()))
+    assert np.array_equal(word_hashes(text, lower=True)[0], word_hashes(re.sub(rb"[A-Z]", lambda m: m.group().lower(), text))[0])
+    assert all(word_hashes(w)[0].tolist() == [h] for h, w in set(zip(hashes.tolist(), words)))
+
+
+@pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (2, 1), (9, 3), (2000, 700)])
+def test_counted_tokens(n, kinds):
+    tokens = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint64)
+    every, count = np.unique(tokens, return_counts=True)
+    got = jaccard.counted_tokens(tokens.copy(), True)
+    assert np.array_equal(got[0], every) and np.array_equal(got[1], count)
+    got = jaccard.counted_tokens(tokens.copy(), False)
+    assert np.array_equal(got[0], every[count > 1]) and np.array_equal(got[1], count[count > 1])
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     plain = ["ba", "lo", "mi", "ter", "san", "ko", "re", "du"]
