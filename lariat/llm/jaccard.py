@@ -10,6 +10,7 @@ a sketch of 2**SKETCH cells, each with the highest one of its tokens: 2 MB, what
   similar sets that share no rare signature share j frequent tokens of the prefix extended to j = g + 1. Dealt into g
   groups by hash, two of them fall into one group: the pairs within groups are signatures. g follows the size class,
   and a set signs for its own class and the next, so that any two sizes within t of each other meet in one class.
+  Sets of one and two tokens that are similar at t = 1/2 share but one, which is a signature by itself, frequent or not.
   Sets that meet so and share a rare token as well meet by that one too; so here their intersection may be bounded by
   their frequent tokens alone.
 
@@ -115,8 +116,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num:
     often = tokens[common][order]
     holders = np.ones(len(often), np.int64) if held is None else held[at[common]][order]
     prefix = n - _least_overlap(n, num, den) + 1
-    sigs, places, gaps = [rare[:prefix]], [np.arange(min(prefix, len(rare)), dtype=np.int32)], [np.zeros(min(prefix, len(rare)), np.int32)]
-    parts = [np.left_shift(2, level[:prefix]) // PART + 1]
+    # Where a single shared token may suffice, at a similarity of a half, frequent ones are signatures too.
+    single = max(0, prefix - len(rare)) if _least_overlap(n, num, den) == 1 else 0
+    alone = np.concatenate([rare[:prefix], often[:single]])
+    sigs, places, gaps = [alone], [np.arange(len(alone), dtype=np.int32)], [np.zeros(len(alone), np.int32)]
+    parts = [np.left_shift(2, level[:prefix]) // PART + 1, holders[:single] // PART + 1]
     if len(rare) < prefix:
         own = _size_class(n, num, den)
         for c in (own, own + 1):

@@ -281,6 +281,33 @@ def test_jaccard_frequent_signatures_are_complete():
             assert len(np.intersect1d(jaccard.signatures(x, often, rank, 85, 100)[0], jaccard.signatures(y, often, rank, 85, 100)[0]))
 
 
+@pytest.mark.parametrize("n", [20, 60])
+def test_jaccard_at_a_half_for_few_and_many(spark, n):
+    """A token of more than 32 documents is frequent; one that is all that two sets share must link them then too."""
+    df = spark.createDataFrame([(i, f"a b x{i}" if i else "a b") for i in range(n)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.similar_components(df, 2, 1, 2).collect()} == {0}
+
+
+def test_jaccard_does_not_depend_on_what_is_counted(spark, monkeypatch):
+    """Which tokens pass for frequent changes the candidates and never the components."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(3, 60))] for _ in range(6)]
+    rows = []
+    for i in range(160):
+        w = list(base[rng.randrange(6)])
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    comp = brute_components(len(rows), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for whole, gathered in ((1 << 19, 5_000_000), (0, 5_000_000), (0, 500)):
+        monkeypatch.setattr(jaccard, "WHOLE", whole)
+        monkeypatch.setattr(jaccard, "GATHERED", gathered)
+        assert [r["component_id"] for r in sorted(jaccard.similar_components(df).collect())] == comp
+
+
 def test_jaccard_odd_ids(spark, docs, empty):
     got = jaccard.similar_components(docs).collect()
     assert len(got) == docs.count() and all((r["component_id"] is None) == (r["doc_id"] is None) for r in got)
