@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -58,6 +59,16 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, Python's and the JVM's.
+
+    Spark drops a shuffle's files and a broadcast's blocks only when the driver has collected what stood for them, and
+    its JVM gives heap back only then. An operator that plans very many short jobs calls this now and then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_ids(df: DataFrame, column: str) -> Column:
     """The id column as a long; other types than whole numbers are refused, as a cast would merge or lose ids."""
     kind = df.schema[column].dataType

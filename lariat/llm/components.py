@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import discard, materialize
+from lariat.llm.common import discard, materialize, release
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -22,6 +22,11 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """The number of edges and a sum of their hashes, which tell whether a round has changed them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a, b); a component is its smallest node.
 
@@ -30,13 +35,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
+    before = _state(edges)
     for _ in range(rounds):
-        if edges.isEmpty():
+        if not before[0]:
             break
         after = materialize(_stars(_stars(edges, False), True), "stars")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = _state(after)
         discard(edges)
-        edges = after
+        release(edges.sparkSession)
+        edges, same, before = after, now == before, now
         if same:
             break
     else:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.llm.common import SLICE, U64, bytes_of, configure, discard, id_filter, map_batches, materialize, mix, shingle_hashes, whole_ids, word_hashes
+from lariat.llm.common import SLICE, U64, bytes_of, configure, discard, id_filter, map_batches, materialize, mix, release, shingle_hashes, whole_ids, word_hashes
 from lariat.llm.components import components
 
 #: Most frequent tokens that are broadcast: 8 bytes and a count each, 1 MB.
@@ -193,11 +193,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # at most, a sixteenth of it.
     floor = max(32, -(-2 * total // FREQUENT))
     counted = materialize(seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")), "counted")
-    top = counted.where(F.col("n") >= floor).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    ordered = sorted((int(r["n"]), int(r["token"]) & (1 << 64) - 1) for r in top)
-    hashes = np.array([h for _, h in ordered], U64)
+    top = counted.where(F.col("n") >= floor).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    hashes, holders = top.column("token").to_numpy().view(U64), top.column("n").to_numpy()
+    order = np.lexsort((hashes, holders))
+    hashes, holders = hashes[order], holders[order]
     by_hash = np.argsort(hashes)
-    holders = np.array([n for n, _ in ordered], np.int64)
     table = spark.sparkContext.broadcast((hashes[by_hash], by_hash, count_classes(counted.where(F.col("n") < floor)), holders[by_hash]))
 
     # One document stands for all with its set. Written, so that the join may split a set that very many hold.
@@ -236,6 +236,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     held = F.struct("doc_id", "size", "at", "gap", "after")
     met = signed.withColumn("_c", F.min(held).over(part)).withColumn("_last", F.max(held).over(part)).withColumn("_any", F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(CENTRES))).alias("by"), held.alias("held"))).over(part)["held"])
     met = materialize(met.where("_c.doc_id != _last.doc_id or salt >= 0").select("sig", "salt", "doc_id", "set", "size", "at", "gap", "after", F.col("_c.doc_id").alias("centre"), F.array_distinct(F.array("_c", "_last", "_any")).alias("centres")), "met")
+    release(spark)
     # The parts' smallest documents meet at the smallest of all.
     tops = met.where("salt >= 0 and doc_id = centre").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first != _last")
     over = met.where("salt >= 0 and doc_id = centre").join(tops.select("sig", "first"), "sig").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -251,6 +252,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     comp = met.join(first, met.doc_id == first.node, "left").select("sig", "doc_id", "set", "size", "at", "gap", "after", F.coalesce("component", "doc_id").alias("comp"))
     mixed = comp.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("sig").agg(F.max(F.struct("_n", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("sig", "top")
     comp = materialize(comp.join(mixed, "sig"), "mixed")
+    release(spark)
     # A set's (of several texts of an id, each one's) first signatures; a pair meets before if it shares one of the earlier.
     told = comp.join(_first_signatures(comp), ["doc_id", "set"])
     told = told.select("sig", "doc_id", "size", "at", "gap", "after", "comp", "top", F.filter("firsts", lambda s: s < F.col("sig")).alias("earlier"))
@@ -356,4 +358,5 @@ def _verified(pairs: DataFrame, counts: DataFrame, known: DataFrame, k: int, num
 
     found = materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "verified")
     discard(pairs, ids, texts)
+    release(pairs.sparkSession)
     return found

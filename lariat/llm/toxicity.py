@@ -11,6 +11,7 @@ The layer on top is linear, so a trained model folds into one number per n-gram:
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -220,17 +221,16 @@ def train(texts: list[str], toxic: list[int], bits: int = 15, dim: int = 4, wind
     return Model(weights, *_calibrated(margins(kept_out, model), all_toxic[aside], prior), window, least)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, per_class: int, learn: Column, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most per_class labelled rows of each class, the first by a hash of the id.
+def training_rows(documents: DataFrame, labels: DataFrame, per_class: int, learn: Column, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _toxic) of at most per_class labelled rows of each class, the first by a hash of the id.
 
     The ids are at most 2 * per_class, so they may be broadcast against the documents. Null labels, null ids, repeated
-    label rows and texts of more than ``longest`` characters are passed over: at most 2 * per_class * longest of them
-    come to the driver.
+    label rows and texts of more than ``longest`` characters are passed over: there are at most 2 * per_class * longest
+    of them.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(learn & F.col("_toxic").isin(0, 1)).dropDuplicates(["_id"])
     parts = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(F.broadcast(parts[0].unionByName(parts[1])), "_id").orderBy("_id", "_text").limit(2 * per_class).collect()
-    return [r["_text"] or "" for r in rows], [r["_toxic"] for r in rows]
+    return documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= longest).join(F.broadcast(parts[0].unionByName(parts[1])), "_id").orderBy("_id", "_text").limit(2 * per_class)
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, learn: Column | None = None, longest: int = 100_000, **options) -> Model:
@@ -238,9 +238,20 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, learn: C
 
     learn: a condition on ``_id`` for the rows that may be learned from. Texts of more than ``longest`` characters aren't
     learned from; they are scored whole like any other. Empty tables give a model that answers a small share.
+    One task trains, and only the model comes to the driver.
     """
-    texts, toxic = training_rows(documents, labels, per_class, F.lit(True) if learn is None else learn, longest)
-    return train(texts, toxic, **options)
+    rows = training_rows(documents, labels, per_class, F.lit(True) if learn is None else learn, longest)
+
+    def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_toxic")))]
+        sample.sort(key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))  # as rows is ordered, however it comes
+        model = train([t or "" for _, t, _ in sample], [y for _, _, y in sample], **options)
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "scale": model.scale, "window": model.window, "least": model.least}])
+
+    found = rows.coalesce(1).mapInArrow(trained, "weights binary, bias double, scale double, window long, least long").first()
+    if found is None:  # no rows and so no task
+        return train([], [], **options)
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"], found["scale"], found["window"], found["least"])
 
 
 def score(model: Model) -> "F.Column":

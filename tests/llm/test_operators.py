@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -84,6 +85,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, data.limit(0)).scale == 0
 
 
+def test_toxicity_trains_outside_the_driver(spark):
+    rng = random.Random(5)
+    data = spark.createDataFrame([(i, " ".join(rng.choice(["ba", "lomi", "tersan", f"w{rng.randrange(5000)}", "du" if i % 3 else "grumpfish"]) for _ in range(400)), int(i % 3 == 0)) for i in range(200)], "doc_id long, text string, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(data, data)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.scale != 0 and peak < 4e6
+
+
 @pytest.mark.parametrize("n", [0, 1, 23, 24, 1000])
 def test_sharding_law(spark, n):
     got = sharding.shard(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 24).collect()
