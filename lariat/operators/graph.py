@@ -15,6 +15,8 @@ from lariat.functions.sequence import EDGE_KINDS, inverted, is_exon_start, is_ex
 
 #: Kinds of boundaries, in the order in which they come where they share a position (fixed values).
 TX_END, ACCEPTOR, DONOR, TX_START = 1, 2, 3, 4
+#: The start of an exon among them, before the boundaries at its position.
+_EXON = 0
 #: A node's left edge by the kind of its first boundary, and by those of a gap before it (fixed values).
 _NODE_EDGE = {TX_END: "RS", ACCEPTOR: "RR", DONOR: "LL", TX_START: "SL"}
 _GAP_EDGE = {TX_END: ["RS", "SR", "RS", "RS"], ACCEPTOR: ["RR"] * 4, DONOR: ["LL", "LR", "LL", "LS"], TX_START: ["SL"] * 4}
@@ -44,21 +46,27 @@ def edge_code(edge: Column) -> Column:
 def nodes(genes: DataFrame, exons: DataFrame) -> DataFrame:
     """(gene, node, coord, length, edge_in, edge_out, offset): a gene's nodes, from 1 in the direction of its strand.
 
-    genes: the result of ``transcripts.genes``; exons: (gene, exons) of ``transcripts.distinct_exons``. Between two
-    boundaries there is a node if an exon holds both, or if a site that reads have added bounds it; where there isn't,
-    the stretch is a gap and what follows it is a node again. Nodes of no length may stand between kissing exons.
-    offset: a node's first base in the gene's own sequence, from 1.
+    genes: the result of ``transcripts.genes``; exons: rows (gene, start, end), or (gene, exons) of
+    ``transcripts.distinct_exons``. Between two boundaries there is a node if an exon holds both, or if a site that reads
+    have added bounds it; where there isn't, the stretch is a gap and what follows it is a node again. Nodes of no length
+    may stand between kissing exons. offset: a node's first base in the gene's own sequence, from 1.
     """
 
-    def kind_of(column: str, kind: int) -> Column:
-        return F.transform(column, lambda v: F.struct(v.alias("at"), F.lit(kind).alias("kind")))
+    def kind_of(column: str, kind: int, novel: str | None = None) -> Column:
+        added = lambda v: F.array_contains(novel, v) if novel else F.lit(False)
+        return F.transform(column, lambda v: F.struct(v.alias("at"), F.lit(kind).alias("kind"), F.coalesce(added(v), F.lit(False)).alias("novel"), F.lit(None).cast("long").alias("reach")))
 
-    bounds = F.concat(kind_of("txen", TX_END), kind_of("acc", ACCEPTOR), kind_of("don", DONOR), kind_of("txst", TX_START))
-    rows = genes.join(exons, "gene").select("gene", "strand", "exons", "noveldon", "novelacc", F.explode(bounds).alias("b")).select("gene", "strand", "exons", "noveldon", "novelacc", "b.at", "b.kind")
+    if "exons" in exons.columns:
+        exons = exons.select("gene", F.explode("exons").alias("x")).select("gene", "x.start", "x.end")
+    # Two boundaries are in an exon if the exons that begin up to the first reach the second: one number for each start.
+    reach = exons.groupBy("gene", "start").agg(F.max("end").cast("long").alias("reach")).groupBy("gene").agg(F.collect_list(F.struct(F.col("start").alias("at"), F.lit(_EXON).alias("kind"), F.lit(False).alias("novel"), "reach")).alias("starts"))
+    bounds = F.concat(kind_of("txen", TX_END), kind_of("acc", ACCEPTOR, "novelacc"), kind_of("don", DONOR, "noveldon"), kind_of("txst", TX_START), "starts")
+    rows = genes.join(reach, "gene").select("gene", "strand", F.explode(bounds).alias("b")).select("gene", "strand", "b.at", "b.kind", "b.novel", "b.reach")
     order = Window.partitionBy("gene").orderBy("at", "kind")
-    rows = rows.withColumns({"row": F.row_number().over(order), "to": F.lead("at").over(order), "to_kind": F.lead("kind").over(order), "from_kind": F.lag("kind").over(order)})
-    held = F.exists("exons", lambda x: (x["start"] <= F.col("at")) & (F.col("to") <= x["end"]))
-    added = (F.col("kind") == ACCEPTOR) & F.array_contains("novelacc", F.col("at")) | (F.col("to_kind") == DONOR) & F.coalesce(F.array_contains("noveldon", F.col("to")), F.lit(False))
+    rows = rows.withColumn("reach", F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("kind") != _EXON)
+    rows = rows.withColumns({"row": F.row_number().over(order), "to": F.lead("at").over(order), "to_kind": F.lead("kind").over(order), "to_novel": F.lead("novel").over(order), "from_kind": F.lag("kind").over(order)})
+    held = F.coalesce(F.col("to") <= F.col("reach"), F.lit(False))
+    added = (F.col("kind") == ACCEPTOR) & F.col("novel") | (F.col("to_kind") == DONOR) & F.col("to_novel")
     rows = rows.where("to is not null").withColumn("solid", held | added)
     # In a run of stretches that nothing holds, every other one is a gap.
     before = order.rowsBetween(Window.unboundedPreceding, -1)

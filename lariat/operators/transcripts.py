@@ -35,9 +35,13 @@ def genes(tx: DataFrame, novel: DataFrame | None = None) -> DataFrame:
 
     novel: (gene, don, acc) of sites that reads add; what the annotation doesn't have of them is noveldon and novelacc.
     """
-    cut = tx.select("chrom", "strand", "gene", "txst", "txen", "length", F.slice("don", 1, F.size("don") - 1).alias("d"), F.slice("acc", 2, F.size("acc")).alias("a"))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    sites = cut.groupBy("chrom", "strand", "gene").agg(union("d").alias("don"), union("a").alias("acc"), F.array_sort(F.collect_set("txst")).alias("txst"), F.array_sort(F.collect_set("txen")).alias("txen"), F.avg("length").alias("length"))
+    # Sites are made distinct as rows before a gene's are put together, so that its arrays are as long as its sites.
+    site = lambda kind: lambda at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.lit(None).cast("long").alias("length"))
+    ends = F.array(F.struct(F.lit("txst").alias("kind"), F.col("txst").alias("at"), F.col("length").cast("long").alias("length")), site("txen")(F.col("txen")))
+    rows = tx.select("chrom", "strand", "gene", F.explode(F.concat(F.transform(F.slice("don", 1, F.size("don") - 1), site("don")), F.transform(F.slice("acc", 2, F.size("acc")), site("acc")), ends)).alias("s"))
+    rows = rows.groupBy("chrom", "strand", "gene", "s.kind", "s.at").agg(F.sum("s.length").alias("length"), F.count("s.length").alias("n"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("at")))).alias(kind)
+    sites = rows.groupBy("chrom", "strand", "gene").agg(*[of(k) for k in ("don", "acc", "txst", "txen")], (F.sum("length") / F.sum("n")).alias("length"))
     none = F.array().cast("array<bigint>")
     if novel is None:
         sites = sites.withColumns({"noveldon": none, "novelacc": none})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lariat.functions import sequence as S
 from lariat.functions.beta import interval
+from lariat.functions.partitions import dealt
 from lariat.operators import bias, events, graph, kmers, posterior, quant
 from lariat.operators import counts as C
 from lariat.operators import transcripts as T
@@ -304,17 +305,19 @@ _GRAPH_PATHS = f"""{_NODES}, twin AS (SELECT *, coalesce(lead(coord) OVER (PARTI
 gp AS (SELECT ex.gene, ex.tx, list(DISTINCT n.node ORDER BY n.node) AS path FROM ex JOIN twin n ON n.gene = ex.gene AND n.coord BETWEEN ex.s AND ex.e AND NOT (ex.gene % 2 = 0 AND t AND n.coord = ex.s) GROUP BY ex.gene, ex.tx)"""
 
 
-def _order_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_orderkey")
-    rows = _table(spark, sf_dir, "lineitem").groupBy(n, "l_linenumber").agg(F.min(100 * F.col("l_linenumber") + F.col("l_partkey") % 30).alias("start"), F.min(100 * F.col("l_linenumber") + F.col("l_partkey") % 30 + F.col("l_quantity").cast("long")).alias("end"))
-    return rows.select(F.lit("chr").alias("chrom"), F.when(n % 9973 % 2 == 0, "+").otherwise("-").alias("strand"), (n % 9973).alias("gene"), n.alias("transcript"), "start", "end")
+def _order_exons(spark: SparkSession, sf_dir: str, key: str = "gene") -> DataFrame:
+    """Exons, dealt out by gene or by transcript: either holds an order's lines whole."""
+    n, start = F.col("l_orderkey"), 100 * F.col("l_linenumber") + F.col("l_partkey") % 30
+    lines = _table(spark, sf_dir, "lineitem").select((n % 9973).alias("gene"), n.alias("transcript"), "l_linenumber", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+    rows = dealt(lines, key).groupBy("gene", "transcript", "l_linenumber").agg(F.min("start").alias("start"), F.min("end").alias("end"))
+    return rows.select(F.lit("chr").alias("chrom"), F.when(F.col("gene") % 2 == 0, "+").otherwise("-").alias("strand"), "gene", "transcript", "start", "end")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     exons = _order_exons(spark, sf_dir)
     tx = T.transcripts(exons)
     genes = T.genes(tx)
-    return tx, genes, graph.nodes(genes, T.distinct_exons(exons))
+    return tx, genes, graph.nodes(genes, exons.select("gene", "start", "end"))
 
 
 @_query(f"WITH {_SITES} SELECT g.gene, (SELECT string_agg(CAST(px AS VARCHAR), ',' ORDER BY px) FROM don WHERE don.gene = g.gene) AS don, (SELECT string_agg(CAST(px AS VARCHAR), ',' ORDER BY px) FROM acc WHERE acc.gene = g.gene) AS acc, (SELECT string_agg(CAST(px AS VARCHAR), ',' ORDER BY px) FROM txst WHERE txst.gene = g.gene) AS txst, (SELECT string_agg(CAST(px AS VARCHAR), ',' ORDER BY px) FROM txen WHERE txen.gene = g.gene) AS txen, round(len, 6) AS length FROM (SELECT gene, avg(n) AS len FROM (SELECT gene, tx, sum(e - s + 1) AS n FROM ex GROUP BY gene, tx) GROUP BY gene) g")
