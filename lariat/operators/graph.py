@@ -108,14 +108,54 @@ def path_sequence(nodes: Column, seqs: Column) -> Column:
     return F.array_join(F.transform(nodes, lambda n: F.element_at(seqs, n.cast("int"))), "")
 
 
-def annotated_paths(nodes: DataFrame, genes: DataFrame, tx: DataFrame) -> DataFrame:
-    """(gene, transcript, nodes): the sorted nodes of each transcript, those that begin in one of its exons."""
-    spans = tx.select("gene", "transcript", F.explode(F.arrays_zip("acc", "don")).alias("x")).select("gene", "transcript", F.col("x.acc").alias("first"), F.col("x.don").alias("last"))
-    twin = F.coalesce(F.lead("coord").over(Window.partitionBy("gene").orderBy("node")) == F.col("coord"), F.lit(False))
-    at = nodes.withColumn("twin", twin).join(genes.select("gene", "strand"), "gene").select("gene", "strand", "node", "coord", "twin")
+def _node_spans(nodes: DataFrame, genes: DataFrame) -> DataFrame:
+    """A row for each gene: starts and ends of its exons as sorted arrays, and the node and base at each of them.
+
+    Nodes in order of position are counted along the starts and ends, so what lies between a start and an end is a range of
+    numbers. On the forward strand a start's node is the first of the range, and its base that node's first one; an end's
+    node is the last, and its base the one after it. On the other strand it is the other way round.
+    """
+    marked = lambda c, kind: F.transform(c, lambda v: F.struct(v.alias("at"), kind.alias("kind"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("after")))
+    forward = F.col("strand") == "+"
+    own = nodes.groupBy("gene").agg(F.collect_list(F.struct(F.col("coord").alias("at"), F.lit(1).alias("kind"), "offset", (F.col("offset") + F.col("length")).alias("after"))).alias("own"), F.count(F.lit(1)).alias("k"), F.max(F.col("offset") + F.col("length")).alias("total"))
+    # Starts come before the nodes at their position (-1) or, where the last of those counts, after them (2); ends come after them (3).
+    marks = F.concat("own", marked(F.concat("acc", "txst"), F.when(forward, 2).otherwise(-1)), marked(F.concat("don", "txen"), F.lit(3)))
+    rows = genes.join(own, "gene").select("gene", "strand", "k", "total", F.explode(marks).alias("m")).select("gene", "strand", "k", "total", "m.*")
+    # Along the strand's direction of numbers, nodes of one position stand in the order of their numbers.
+    so_far = Window.partitionBy("gene").orderBy("at", "kind", F.when(forward, F.col("offset")).otherwise(-F.col("offset")), F.when(forward, F.col("after")).otherwise(-F.col("after"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(F.when(F.col("kind") == 1, F.col(c)), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"n": F.count(F.when(F.col("kind") == 1, 1)).over(so_far), "last_at": last("at"), "last_offset": last("offset"), "last_after": last("after")}).where("kind != 1")
     # Of two nodes that begin where an exon does, one has no length; on the forward strand the later one counts.
-    inside = (F.col("coord") >= F.col("first")) & (F.col("coord") <= F.col("last")) & ~((F.col("strand") == "+") & F.col("twin") & (F.col("coord") == F.col("first")))
-    return at.join(spans, "gene").where(inside).groupBy("gene", "transcript").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    there = F.coalesce(F.col("last_at") == F.col("at"), F.lit(False))
+    node = F.when(F.col("kind") == -1, F.col("k") - F.col("n")).when(F.col("kind") == 2, F.col("n") + F.when(there, 0).otherwise(1)).otherwise(F.when(forward, F.col("n")).otherwise(F.col("k") + 1 - F.col("n")))
+    base = F.when(F.col("kind") == -1, F.coalesce("last_offset", "total")).when(F.col("kind") == 2, F.when(there, F.col("last_offset")).otherwise(F.coalesce("last_after", F.lit(1)))).otherwise(F.when(forward, F.coalesce("last_after", F.lit(1))).otherwise(F.coalesce("last_offset", "total")))
+    rows = rows.select("gene", "strand", (F.col("kind") == 3).alias("end"), "at", node.cast("int").alias("node"), base.alias("base"))
+    of = lambda c, end: F.collect_list(F.when(F.col("end") == end, F.col(c)))
+    return rows.groupBy("gene", "strand").agg(of("at", False).alias("starts"), of("node", False).alias("start_node"), of("base", False).alias("start_base"), of("at", True).alias("ends"), of("node", True).alias("end_node"), of("base", True).alias("end_base"))
+
+
+def annotated_paths(nodes: DataFrame, genes: DataFrame, tx: DataFrame) -> DataFrame:
+    """(gene, transcript, nodes, runs, length): the sorted nodes of each transcript, those that begin in one of its exons.
+
+    runs: the same as longest runs of consecutive nodes (first, last), in order; length: bases of all of them. An exon's
+    nodes are looked up by its start and its end, so no gene's exons and nodes are a product.
+    """
+    spans = tx.select("gene", "transcript", F.explode(F.arrays_zip("acc", "don")).alias("x")).select("gene", "transcript", F.col("x.acc").alias("start"), F.col("x.don").alias("end"))
+    met = spans.join(_node_spans(nodes, genes).hint("shuffle_hash"), "gene")
+    at = lambda c, found, of: F.element_at(c, F.array_position(found, F.col(of)).cast("int"))
+    for c in ("node", "base"):
+        met = met.withColumns({f"_s{c}": at(f"start_{c}", "starts", "start"), f"_e{c}": at(f"end_{c}", "ends", "end")})
+    forward = F.col("strand") == "+"
+    side = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
+    ranges = met.select("gene", "transcript", side("_snode", "_enode").alias("first"), side("_enode", "_snode").alias("last"), side("_sbase", "_ebase").alias("base"), side("_ebase", "_sbase").alias("after")).where("first <= last")
+    found = ranges.groupBy("gene", "transcript").agg(F.sort_array(F.collect_list(F.struct("first", "last", "base", "after"))).alias("r"))
+    # First and last nodes both grow along a transcript's exons, so a run begins where the range before ends short of it.
+    r = lambda i: F.element_at("r", i)
+    begins = F.filter("r", lambda x, i: F.when(i == 0, True).otherwise(x["first"] > r(F.greatest(i, F.lit(1)))["last"] + 1))
+    stops = F.filter("r", lambda x, i: F.when(i == F.size("r") - 1, True).otherwise(r(F.least(i + 2, F.size("r")))["first"] > x["last"] + 1))
+    found = found.select("gene", "transcript", F.zip_with(begins, stops, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"), (b["after"] - a["base"]).alias("bases"))).alias("r"))
+    runs = F.transform("r", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
+    return found.select("gene", "transcript", F.flatten(F.transform("r", lambda x: F.sequence(x["first"], x["last"]))).alias("nodes"), runs.alias("runs"), F.aggregate("r", F.lit(0).cast("long"), lambda n, x: n + x["bases"]).alias("length"))
 
 
 def isoform_lengths(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -338,8 +338,7 @@ def graph_nodes(spark, sf_dir):
 def graph_paths(spark, sf_dir):
     """Transcripts as nodes of their gene's graph, and their length by those."""
     tx, genes, nodes = _graph(spark, sf_dir)
-    paths = graph.annotated_paths(nodes, genes, tx)
-    return paths.join(graph.isoform_lengths(paths, nodes), ["gene", "transcript"]).select("gene", "transcript", F.array_join(F.col("nodes").cast("array<string>"), "-").alias("nodes"), "length")
+    return graph.annotated_paths(nodes, genes, tx).select("gene", "transcript", F.array_join(F.col("nodes").cast("array<string>"), "-").alias("nodes"), "length")
 
 
 @_query(f"""WITH {_GRAPH_PATHS}, hard AS (SELECT gene, node FROM nodes WHERE edge_out IN ('LR','LS','SR')), reach AS (SELECT n.gene, n.node AS a, n.coord AS ca, n.coord + n.length - 1 AS ea, coalesce((SELECT min(h.node) FROM hard h WHERE h.gene = n.gene AND h.node >= n.node), (SELECT max(m.node) FROM nodes m WHERE m.gene = n.gene)) AS z FROM nodes n WHERE edge_in IN ('LR','RR','SR','LS','SL')),

@@ -41,3 +41,31 @@ def test_exons_as_rows_or_arrays(spark, kept):
     genes = kept(T.genes(T.transcripts(exons)))
     rows, arrays = (sorted(map(tuple, G.nodes(genes, x).collect())) for x in (exons, T.distinct_exons(exons)))
     assert rows and rows == arrays
+
+
+def test_paths_are_the_nodes_that_begin_in_exons(spark, kept):
+    exons = drawn_exons(spark, kept, seed=2)
+    tx = kept(T.transcripts(exons))
+    genes = kept(T.genes(tx))
+    nodes = kept(G.nodes(genes, exons))
+    strand, of = {r["gene"]: r["strand"] for r in genes.collect()}, {}
+    for r in sorted(nodes.collect()):
+        of.setdefault(r["gene"], []).append(r)
+    want = {}
+    for r in exons.collect():
+        own = of[r["gene"]]
+        twin = {a["node"] for a, b in zip(own, own[1:]) if a["coord"] == b["coord"]}
+        inside = {n["node"] for n in own if r["start"] <= n["coord"] <= r["end"] and not (strand[r["gene"]] == "+" and n["node"] in twin and n["coord"] == r["start"])}
+        want.setdefault(r["transcript"], set()).update(inside)
+    size = {(n["gene"], n["node"]): n["length"] for own in of.values() for n in own}
+    got = G.annotated_paths(nodes, genes, tx).collect()
+    assert {r["transcript"]: r["nodes"] for r in got} == {t: sorted(x) for t, x in want.items() if x}
+    for r in got:
+        runs = [tuple(x) for x in r["runs"]]
+        assert [n for a, b in runs for n in range(a, b + 1)] == r["nodes"] and all(a[1] + 1 < b[0] for a, b in zip(runs, runs[1:]))
+        assert r["length"] == sum(size[r["gene"], n] for n in r["nodes"])
+
+
+def test_paths_shuffle_order_lines_once(spark):
+    plan = catalog.queries()["graph_paths"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
