@@ -25,8 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders, customers = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("gene"), F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("at"))
+    orders, customers = (_table(spark, sf_dir, t) for t in ("orders", "customer"))
+    # Reads meet their genes first; lines, which are many more, are dealt out once, by read.
+    reads = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("gene"), F.col("o_orderkey").alias("read"))
+    lines = dealt(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("at")), "read")
+    return lines.join(reads, "read").select("gene", "read", "node", "at")
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:

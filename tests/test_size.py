@@ -2,6 +2,7 @@
 
 import random
 
+from lariat.functions.partitions import dealt
 from lariat.operators import graph as G
 from lariat.operators import transcripts as T
 from lariat.plans import catalog
@@ -69,3 +70,18 @@ def test_paths_are_the_nodes_that_begin_in_exons(spark, kept):
 def test_paths_shuffle_order_lines_once(spark):
     plan = catalog.queries()["graph_paths"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_lines_are_dealt_out_once_by_read(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = catalog.queries()["circ_counts"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "REPARTITION_BY_NUM" in plan and not [x for x in plan.split("\n") if "hashpartitioning(gene#" in x and "read#" in x]
+
+
+def test_partitions_grow_with_the_table(spark):
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey")
+    few, many = (dealt(lines, "l_orderkey", size=n).rdd.getNumPartitions() for n in (1 << 30, 256))
+    assert few == 4 and many > 8
