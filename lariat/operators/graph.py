@@ -202,16 +202,22 @@ def isoform_offsets(paths: DataFrame) -> DataFrame:
 
 
 def potential_exons(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """(gene, first, last, low, high, annotated): runs of nodes from an exon start to each stop up to the next hard edge."""
-    ahead = Window.partitionBy("gene").orderBy("node").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    top = Window.partitionBy("gene")
-    reach = F.coalesce(F.min(F.when(is_hard(F.col("edge_out")), F.col("node"))).over(ahead), F.max("node").over(top))
-    begin = nodes.withColumn("reach", reach).where(is_exon_start(F.col("edge_in"))).select("gene", F.col("node").alias("first"), F.col("coord").alias("c1"), (F.col("coord") + F.col("length") - 1).alias("e1"), F.explode(F.sequence("node", "reach")).alias("last"))
-    stop = nodes.where(is_exon_stop(F.col("edge_out"))).select("gene", F.col("node").alias("last"), F.col("coord").alias("c2"), (F.col("coord") + F.col("length") - 1).alias("e2"))
-    found = begin.join(stop, ["gene", "last"]).join(paths.groupBy("gene").agg(F.collect_list("nodes").alias("paths")), "gene", "left")
-    # Paths are sorted, so a run of nodes is in one if its ends are and lie as far apart there.
-    whole = F.coalesce(F.exists("paths", lambda p: (F.array_position(p, F.col("first")) > 0) & (F.array_position(p, F.col("last")) - F.array_position(p, F.col("first")) == F.col("last") - F.col("first"))), F.lit(False))
-    return found.select("gene", "first", "last", F.least("c1", "c2").alias("low"), F.greatest("e1", "e2").alias("high"), whole.alias("annotated"))
+    """(gene, first, last, low, high, annotated): runs of nodes from an exon start to each stop up to the next hard edge.
+
+    paths: the result of ``annotated_paths``. Nodes up to one hard edge have it in common, so a start's stops are those
+    that come after it there.
+    """
+    order = Window.partitionBy("gene").orderBy("node")
+    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    reach = F.coalesce(F.min(F.when(is_hard(F.col("edge_out")), F.col("node"))).over(ahead), F.max("node").over(Window.partitionBy("gene")))
+    # A run of nodes is in a path if a longest run of one begins up to its first node and ends at its last or beyond.
+    whole = paths.select("gene", F.explode("runs").alias("x")).groupBy("gene", "x.first").agg(F.max("x.last").alias("last")).groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("first", "last"))).alias("whole"))
+    met = nodes.join(whole.hint("shuffle_hash"), "gene", "left").select("gene", "node", "coord", (F.col("coord") + F.col("length") - 1).alias("end"), "edge_in", "edge_out", F.try_element_at("whole", F.col("node")).alias("whole"))
+    met = met.withColumns({"reach": reach, "whole": F.max("whole").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    stops = F.collect_list(F.when(is_exon_stop(F.col("edge_out")), F.struct(F.col("node").alias("last"), F.col("coord").alias("c2"), F.col("end").alias("e2"))))
+    begin = met.withColumn("stops", stops.over(Window.partitionBy("gene", "reach").orderBy("node").rowsBetween(Window.currentRow, Window.unboundedFollowing))).where(is_exon_start(F.col("edge_in")))
+    found = begin.select("gene", F.col("node").alias("first"), "coord", "end", "whole", F.explode("stops").alias("x")).select("gene", "first", "coord", "end", "whole", "x.*")
+    return found.select("gene", "first", "last", F.least("coord", "c2").alias("low"), F.greatest("end", "e2").alias("high"), F.coalesce(F.col("last") <= F.col("whole"), F.lit(False)).alias("annotated"))
 
 
 def expected_gc(seq: Column, window: int = 50) -> Column:

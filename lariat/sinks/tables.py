@@ -68,7 +68,8 @@ def junction_lines(junctions: DataFrame) -> DataFrame:
 
 def exon_lines(exons: DataFrame, genes: DataFrame) -> DataFrame:
     """Gene, coordinates, nodes and whether an annotated transcript has them side by side."""
-    rows = exons.join(genes.select("gene", "chrom", "strand"), "gene")
+    # Genes are few beside exons, so a table of them spares sorting these.
+    rows = exons.join(genes.select("gene", "chrom", "strand").hint("shuffle_hash"), "gene")
     return rows.select(F.concat_ws("\t", "gene", coord(F.col("chrom"), F.col("low"), F.col("high"), F.col("strand")), F.array_join(F.sequence("first", "last").cast("array<string>"), ","), F.when(F.col("annotated"), "Y").otherwise("N")).alias("value"))
 
 

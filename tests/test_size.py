@@ -85,3 +85,28 @@ def test_partitions_grow_with_the_table(spark):
     lines = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey")
     few, many = (dealt(lines, "l_orderkey", size=n).rdd.getNumPartitions() for n in (1 << 30, 256))
     assert few == 4 and many > 8
+
+
+def test_exons_by_runs_of_paths(spark, kept):
+    exons = drawn_exons(spark, kept, seed=3)
+    tx = kept(T.transcripts(exons))
+    genes = kept(T.genes(tx))
+    nodes = kept(G.nodes(genes, exons))
+    paths = kept(G.annotated_paths(nodes, genes, tx))
+    of, held = {}, {}
+    for r in sorted(nodes.collect()):
+        of.setdefault(r["gene"], []).append(r)
+    for r in paths.collect():
+        held.setdefault(r["gene"], []).append(set(r["nodes"]))
+    want = set()
+    for g, own in of.items():
+        for i, a in enumerate(own):
+            for b in own[i:] if a["edge_in"] in ("LR", "RR", "SR", "LS", "SL") else []:
+                if b["edge_out"] in ("LR", "LL", "SR", "LS", "RS"):
+                    inside = any(p.issuperset(range(a["node"], b["node"] + 1)) for p in held.get(g, []))
+                    want.add((g, a["node"], b["node"], min(a["coord"], b["coord"]), max(x["coord"] + x["length"] - 1 for x in (a, b)), inside))
+                if b["edge_out"] in ("LR", "LS", "SR"):
+                    break
+    found = G.potential_exons(nodes, paths)
+    assert sorted(map(tuple, found.select("gene", "first", "last", "low", "high", "annotated").collect())) == sorted(want)
+    assert "collect_list(nodes" not in found._jdf.queryExecution().optimizedPlan().toString()
