@@ -356,7 +356,7 @@ def exon_table(spark, sf_dir):
 @_query(f"""WITH {_EXONS} SELECT 'c' || gene % 5 AS chrom, s AS start, e AS "end", strand, 'g' || gene AS gene, 't' || tx AS transcript, '_' AS gene_name FROM ex WHERE tx % 3 <> 0""")
 def gtf_parse(spark, sf_dir):
     """Exon lines of an annotation, read back; every third transcript has a low support level and goes."""
-    e = _order_exons(spark, sf_dir)
+    e = _order_exons(spark, sf_dir, "transcript")
     attrs = F.concat(F.lit('gene_id "g'), "gene", F.lit('"; transcript_id "t'), "transcript", F.lit('"; transcript_support_level "'), F.when(F.col("transcript") % 3 == 0, "4 (old)").otherwise("1"), F.lit('";'))
     line = F.concat_ws("\t", F.concat(F.lit("c"), (F.col("gene") % 5).cast("string")), F.lit("x"), F.lit("exon"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
     lines = e.select(line.alias("value"), F.lit("file").alias("file"), F.col("transcript").alias("block"), F.col("start").alias("line"))

@@ -72,13 +72,22 @@ def gtf_rows(lines: DataFrame, drop_low_support: bool = False) -> DataFrame:
 def side_by_side(exons: DataFrame) -> DataFrame:
     """The same rows; reading them fails where another transcript's line stands between those of one.
 
-    Transcripts' spans of lines must not overlap: one row per transcript, sorted by file.
+    Transcripts' spans of lines must not overlap. How far the spans before reach is found within splits, or 4,096 first
+    bytes, then over those of a file in two steps: one row for each of them, so no file's transcripts meet in a task.
     """
     spans = exons.groupBy("transcript").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    before = Window.partitionBy("first.file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    broken = spans.withColumn("reached", F.max("last").over(before)).where("reached > first").select("transcript", F.lit(True).alias("broken"))
-    failed = F.raise_error(F.concat(F.lit("lines of a transcript must stand side by side: one lies between those of another, before "), "transcript"))
-    return exons.join(broken, "transcript", "left").where(F.when(F.col("broken"), failed.cast("boolean")).otherwise(F.lit(True))).drop("broken").select(exons.columns)
+    spans = spans.select("transcript", "first", "last", F.col("first.file").alias("file"), F.expr("first.block div 4096").alias("near"), F.expr("first.block div 16777216").alias("far"))
+    reached = lambda over, by: F.max("last").over(Window.partitionBy(*over).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    near = spans.groupBy("file", "far", "near").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    far = near.groupBy("file", "far").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    # Spans overlap somewhere if a span, or the first of a group, begins before what those before it reach.
+    levels = [(spans, ["file", "far", "near"], "first"), (near, ["file", "far"], "near"), (far, ["file"], "far")]
+    broken = [df.withColumn("reached", reached(over, by)).where("reached > first").agg(F.min("first").cast("string").alias("at")) for df, over, by in levels]
+    failed = F.raise_error(F.concat(F.lit("lines of a transcript must stand side by side: one lies between those of another, before "), F.coalesce(*[f"_at{i}" for i in range(3)])))
+    out = exons
+    for i, one in enumerate(broken):
+        out = out.crossJoin(F.broadcast(one.withColumnRenamed("at", f"_at{i}")))  # one row
+    return out.where(F.when(F.coalesce(*[F.col(f"_at{i}") for i in range(3)]).isNotNull(), failed.cast("boolean")).otherwise(F.lit(True))).select(exons.columns)
 
 
 def refflat(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from lariat.functions.partitions import dealt
 from lariat.operators import graph as G
 from lariat.operators import transcripts as T
 from lariat.plans import catalog
+from lariat.sources import text
 
 DIR = "/root/testdata/sf0.001"
 
@@ -110,3 +114,17 @@ def test_exons_by_runs_of_paths(spark, kept):
     found = G.potential_exons(nodes, paths)
     assert sorted(map(tuple, found.select("gene", "first", "last", "low", "high", "annotated").collect())) == sorted(want)
     assert "collect_list(nodes" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_side_by_side_across_groups(spark):
+    def checked(rows):
+        lines = spark.createDataFrame(rows, "transcript string, file string, block long, line long")
+        return text.side_by_side(lines.select("transcript", F.struct("file", "block", "line").alias("place")))
+
+    good = [("a", "f", 0, 1), ("a", "f", 5000, 2), ("b", "f", 5000, 3), ("b", "f", 1 << 25, 4), ("c", "f", 1 << 25, 5), ("d", "g", 0, 1)]
+    assert checked(good).count() == 6 and checked(good[:0]).count() == 0
+    for late in [("x", "f", 0, 0), ("x", "f", 4097, 1), ("x", "f", 1 << 24, 1)]:
+        with pytest.raises(Exception, match="side by side"):
+            checked([*good, late, (late[0], "f", 1 << 26, 9)]).collect()
+    partitions = [w for w in checked(good)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in w]
+    assert len(partitions) == 3
